@@ -5,22 +5,71 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from chaffsieve.llm import near_dup
+from chaffsieve.llm import boosted_rules, decontam, near_dup, qda
 from chaffsieve.llm._common import table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def op2_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    ids = F.array_join(F.array_sort(F.transform("item_ids", lambda x: x.cast("string"))), ",")
+    n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(ids.cast("binary"), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
+def op3_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return qda.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boosted_rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), size=2, threshold=(80, 100))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontam": op2_decontam,
+    "op3_quality_qda": op3_quality_qda,
+    "op8_quality_rules": op8_quality_rules,
     "op10_near_dup": op10_near_dup,
 }
 
+_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 SQL: dict[str, str] = {
+    "op2_decontam": rf"""
+WITH items AS (
+  SELECT item_id, w, least(10, len(w)) AS size FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+windows AS (
+  SELECT DISTINCT item_id, size, array_to_string(w[i:i + size - 1], ' ') AS g
+  FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS i FROM items)),
+docs AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+places AS (
+  SELECT doc_id, size, w, unnest(range(1, len(w) - size + 2)) AS i
+  FROM docs CROSS JOIN (SELECT DISTINCT size FROM windows)),
+found AS (
+  SELECT doc_id, p.i, p.size, item_id
+  FROM places p JOIN windows v ON v.size = p.size AND v.g = array_to_string(p.w[p.i:p.i + p.size - 1], ' ')),
+covered AS (SELECT DISTINCT doc_id, unnest(range(i, i + size)) AS k FROM found),
+owners AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n_hit FROM covered GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN n USING (doc_id) LEFT JOIN owners USING (doc_id)""",
     "op10_near_dup": rf"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS w
