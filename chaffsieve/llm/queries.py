@@ -7,12 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chaffsieve.llm import boosted_rules, decontam, near_dup, qda
+from chaffsieve.llm import boosted_rules, bpe, decontam, near_dup, qda
 from chaffsieve.llm._common import table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def _tokenizer() -> str:
+    """The installed vocabulary file; a parameter of the operator."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), _tokenizer()).select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 def op2_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
     ids = F.array_join(F.array_sort(F.transform("item_ids", lambda x: x.cast("string"))), ",")
@@ -40,6 +56,7 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe": op1_bpe,
     "op2_decontam": op2_decontam,
     "op3_quality_qda": op3_quality_qda,
     "op8_quality_rules": op8_quality_rules,
