@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chaffsieve.llm import boosted_rules, bpe, decontam, near_dup, qda
+from chaffsieve.llm import boosted_rules, bpe, chat_format, decontam, line_dedup, near_dup, qda, url_filter
 from chaffsieve.llm._common import table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -47,6 +47,43 @@ def op3_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qda.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.marked(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id",
+        "n_lines",
+        F.size("removed").cast("long").alias("n_removed"),
+        F.array_join("removed", ",").alias("removed"),
+        F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"),
+    )
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.transform("mask", lambda m: F.concat_ws(":", m["start"].cast("string"), m["end"].cast("string")))
+    return chat_format.rotated(table(spark, sf_dir, "conversations")).select(
+        "conv_id",
+        "speaker",
+        "chunk",
+        "n_turns",
+        F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"),
+        F.array_join(spans, ",").alias("mask"),
+    )
+
+
+#: Host, path and verdict of the registered URL rules.
+URL_RULES = [
+    ("com", "/en/", "block"),
+    ("example.com", "/en/7", "allow"),
+    ("net", "/de/", "allow"),
+    ("example.net", "/de/8", "block"),
+    ("org", "/es/", "block"),
+]
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.judged(table(spark, sf_dir, "pages"), rules)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boosted_rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -59,6 +96,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_decontam": op2_decontam,
     "op3_quality_qda": op3_quality_qda,
+    "op4_line_dedup": op4_line_dedup,
+    "op5_chat_format": op5_chat_format,
+    "op6_url_filter": op6_url_filter,
     "op8_quality_rules": op8_quality_rules,
     "op10_near_dup": op10_near_dup,
 }
@@ -87,6 +127,51 @@ n AS (SELECT doc_id, count(*) AS n_hit FROM covered GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs LEFT JOIN n USING (doc_id) LEFT JOIN owners USING (doc_id)""",
+    "op4_line_dedup": r"""
+WITH docs AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+windows AS (
+  SELECT doc_id, i, l[i + 1] || chr(10) || l[i + 2] || chr(10) || l[i + 3] AS g
+  FROM (SELECT doc_id, l, unnest(range(0, len(l) - 2)) AS i FROM docs)),
+ranked AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS r
+  FROM windows WHERE regexp_matches(g, '[^\x20\x09-\x0D]')),
+gone AS (SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) AS k FROM ranked WHERE r > 1),
+lines AS (SELECT doc_id, unnest(l) AS x, unnest(range(0, len(l))) AS k FROM docs),
+kept AS (
+  SELECT doc_id, count(*) AS n_lines, count(g.k) AS n_removed,
+    string_agg(CAST(g.k AS VARCHAR), ',' ORDER BY g.k) AS removed,
+    string_agg(x, chr(10) ORDER BY lines.k) FILTER (WHERE g.k IS NULL) AS rest
+  FROM lines LEFT JOIN gone g USING (doc_id, k) GROUP BY doc_id)
+SELECT doc_id, n_lines, n_removed, coalesce(removed, '') AS removed, sha256(coalesce(rest, '')) AS text_sha256 FROM kept""",
+    "op5_chat_format": f"""
+WITH said AS (
+  SELECT DISTINCT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+speakers AS (SELECT DISTINCT conv_id, role AS speaker FROM said WHERE role <> '{chat_format.SYSTEM}'),
+parts AS (
+  SELECT conv_id, speaker, turn, turn // {chat_format.BLOCK} AS block, text, role = speaker AS own,
+    '{chat_format.OPEN}' || CASE WHEN role = speaker THEN 'assistant' WHEN role = '{chat_format.SYSTEM}' THEN role
+      ELSE 'user name=' || role END || chr(10) AS head
+  FROM said JOIN speakers USING (conv_id)),
+placed AS (
+  SELECT *, coalesce(sum(length(head) + length(text) + {len(chat_format.CLOSE)}) OVER (
+    PARTITION BY conv_id, speaker, block ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS pos
+  FROM parts)
+SELECT conv_id, speaker, lpad(CAST(block AS VARCHAR), 20, '0') AS chunk, count(*) AS n_turns,
+  sha256(string_agg(head || text || '{chat_format.CLOSE.strip()}' || chr(10), '' ORDER BY turn)) AS text_sha256,
+  coalesce(string_agg(CAST(pos AS BIGINT) || ':' || CAST(pos + length(text) AS BIGINT), ',' ORDER BY turn) FILTER (WHERE own), '') AS mask
+FROM placed GROUP BY conv_id, speaker, block""",
+    "op6_url_filter": f"""
+WITH rules(host, path, verdict) AS (VALUES {', '.join(map(str, URL_RULES))}),
+cut AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+split AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+hits AS (
+  SELECT s.page_id, s.host, s.path, r.host || r.path AS rule, r.verdict
+  FROM split s LEFT JOIN rules r ON (s.host = r.host OR ends_with(s.host, '.' || r.host)) AND starts_with(s.path, r.path))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM (
+  SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC NULLS LAST) AS r FROM hits) WHERE r = 1""",
     "op10_near_dup": rf"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS w
