@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chaffsieve.llm import boosted_rules, bpe, chat_format, decontam, line_dedup, near_dup, qda, url_filter
+from chaffsieve.llm import boosted_rules, bpe, chat_format, decontam, line_dedup, near_dup, qda, secret_scan, url_filter
 from chaffsieve.llm._common import table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -84,6 +84,19 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(table(spark, sf_dir, "pages"), rules)
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = secret_scan.listed(F.col("spans"), secret_scan.KINDS[:3])
+    return secret_scan.scanned(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        *map(count, secret_scan.KINDS[:3]),
+        F.sha2(base.cast("binary"), 256).alias("base_sha256"),
+        secret_scan.listed(F.col("spans")).alias("spans"),
+    )
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boosted_rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -99,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4_line_dedup,
     "op5_chat_format": op5_chat_format,
     "op6_url_filter": op6_url_filter,
+    "op7_secret_scan": op7_secret_scan,
     "op8_quality_rules": op8_quality_rules,
     "op10_near_dup": op10_near_dup,
 }
