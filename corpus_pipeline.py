@@ -1,16 +1,67 @@
-"""Corpus cleaning from raw documents to token ids: quality rules, line dedup, near-dedup, decontamination, BPE."""
+"""Corpus cleaning from raw documents to token ids.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and reread as the next one's
+docs: quality rules, line dedup, near-dedup, benchmark decontamination, BPE. All but the last return the columns of
+documents.
+"""
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chaffsieve.llm import boosted_rules, bpe, decontam, line_dedup, near_dup
+from chaffsieve.llm._common import table, workspace
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the count rules or the boosted trees go."""
+    return boosted_rules.filtered(docs, table(spark, sf_dir, "labels"))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later occurrences of three-line windows are cut out; documents with nothing left go."""
+    return line_dedup.deduplicated(docs)
+
+
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays: five words a shingle, a similarity of 0.8."""
+    groups = near_dup.near_duplicates(docs, size=5, threshold=(80, 100))
+    return docs.join(groups.filter("not kept").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark windows are cut out; documents that consist mostly of them go."""
+    out = decontam.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and the ids of each document as little-endian unsigned 32-bit integers."""
+    return bpe.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"), decode=False)
+
 
-STAGES: list = []
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", dedup_lines),
+    ("near_dedup", dedup_near),
+    ("decontamination", decontaminate),
+    ("bpe", encode),
+]
+#: The boosted trees and the merges of BPE are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies STAGES to the table documents of sf_dir."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            path = f"{workspace(spark)}/{name}-{uuid.uuid4().hex}"
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
     return docs
