@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chaffsieve.llm import boosted_rules, bpe, chat_format, decontam, line_dedup, near_dup, qda, secret_scan, url_filter
+from chaffsieve.llm import boosted_rules, bpe, chat_format, decontam, license_scan, line_dedup, near_dup, qda, secret_scan, url_filter
 from chaffsieve.llm._common import table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -101,6 +101,21 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boosted_rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = F.array_union("base", F.transform("spans", lambda s: s["label"]))
+    best = F.coalesce(F.array_max(F.transform("spans", lambda s: s["covered"])), F.lit(0.0))
+    return license_scan.scanned(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_words",
+        "n_base",
+        "first_word",
+        "last_word",
+        F.array_join(F.array_sort("base"), ",").alias("base_labels"),
+        F.array_join(F.array_sort(labels), ",").alias("labels"),
+        F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(best).alias("score"),
+    )
+
+
 def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), size=2, threshold=(80, 100))
 
@@ -114,6 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_url_filter": op6_url_filter,
     "op7_secret_scan": op7_secret_scan,
     "op8_quality_rules": op8_quality_rules,
+    "op9_license_scan": op9_license_scan,
     "op10_near_dup": op10_near_dup,
 }
 
