@@ -79,7 +79,7 @@ def title_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_TITLES = "CASE WHEN index % 4 = 1 THEN title WHEN index % 4 = 2 THEN '# ' || upper(title) ELSE text END"
+_TITLES = "CASE WHEN index % 4 = 1 THEN title WHEN index % 4 = 2 THEN '#  ' || title ELSE text END"
 _LONG = "CASE source_index WHEN 0 THEN title || ' - Site' WHEN 1 THEN title || ' by Someone' WHEN 2 THEN title || ' byte' ELSE title END"
 
 
@@ -130,13 +130,13 @@ _HEAD = "CASE index % 5 WHEN 0 THEN '## ' || text WHEN 1 THEN '   #\t' || text W
     "f11_f13_headings_and_prose",
     rf"""WITH {_S}, {_SNIP}, l AS (SELECT request_id, source_index, index, {_HEAD.replace('#\t', "#' || chr(9) || '")} AS line FROM snip)
 SELECT request_id, source_index, index, {B.sql_trim("regexp_replace(line, '^ {0,3}#{1,6}[ \\t]+', '')")} AS bare,
-  {B.sql_trim(f"regexp_replace(regexp_replace(line, '^[{T.WS}]*#{{1,6}}[{T.WS}]+', '', 'g'), '[{T.WS}]+', ' ', 'g')")} AS prose FROM l""",
+  {B.sql_trim(f"regexp_replace(regexp_replace(replace(line, '*', ''), '^[{T.WS}]*#{{1,6}}[{T.WS}]+', '', 'g'), '[{T.WS}]+', ' ', 'g')")} AS prose FROM l""",
 )
 def headings_and_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = work_table.snippet_rows(B.sources(spark, sf_dir)).withColumn("line", F.expr(_HEAD))
     line = F.col("line")
     return rows.select(
-        "request_id", "source_index", "index", T.without_heading_mark(line).alias("bare"), T.normalized_prose(line).alias("prose")
+        "request_id", "source_index", "index", T.without_heading_mark(line).alias("bare"), T.normalized_prose(F.replace(line, F.lit("*"), F.lit(""))).alias("prose")
     )
 
 
