@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SECTIONS = ("summarizer", "web", "faq", "discussions", "news", "videos")
 MAX_IDS = 20
 DATETIME = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T([01][0-9]|2[0-3]):[0-5][0-9](:[0-5][0-9](\.[0-9]+)?)?Z\z"
 
 
+def _has(kind: T.StructType, path: str) -> bool:
+    head, _, rest = path.partition(".")
+    return head in kind.names and (not rest or _has(kind[head].dataType, rest))
+
+
 def web_sections(found: DataFrame) -> DataFrame:
     """request_id, section, section_ord, ord, body (JSON) and is_error, in the order of the sections.
 
@@ -34,8 +40,9 @@ def web_sections(found: DataFrame) -> DataFrame:
             continue
         flag = [F.col(f"mutated_{section}").alias("mutated_by_goggles")] if f"mutated_{section}" in found.columns else []
         rows = found.filter(has_web).select("request_id", *[c for c in found.columns if c.startswith("mutated_")], F.posexplode(section).alias("ord", "r"))
-        known = {f.name for f in found.schema[section].dataType.elementType.fields}
-        own = [F.col(f"r.{f[0]}").alias(f[1]) if isinstance(f, tuple) else F.col(f"r.{f}") for f in fields if (f[0] if isinstance(f, tuple) else f).split(".")[0] in known]
+        item = found.schema[section].dataType.elementType
+        pairs = [f if isinstance(f, tuple) else (f, f) for f in fields]
+        own = [F.col(f"r.{path}").alias(name) for path, name in pairs if _has(item, path)]
         out = out.unionByName(
             rows.select("request_id", F.lit(section).alias("section"), "ord", F.to_json(F.struct(*flag, *own)).alias("body"), F.lit(False).alias("is_error"))
         )
