@@ -35,8 +35,7 @@ def parse_reply(status: DataFrame) -> DataFrame:
     """request_id, kind (ok, http, shape) and answers from rows of request_id, status and body (JSON text). One broken
     answer does not touch the others."""
     # Probabilities come as JSON text first: NaN and quoted numbers are not numbers.
-    shape = "struct<model:string,answers:map<string,string>>"
-    body = F.from_json("body", shape.replace("struct<", "").rstrip(">") + ">")
+    body = F.from_json("body", "model string, answers map<string,string>")
     rows = status.withColumn("b", body)
     kind = F.when(F.col("status") != 200, F.lit("http")).when(F.col("b.answers").isNull(), F.lit("shape")).otherwise(F.lit("ok"))
     return rows.select("request_id", kind.alias("kind"), F.when(kind == "ok", F.col("b.answers")).alias("answers"), F.col("b.model").alias("model"))
