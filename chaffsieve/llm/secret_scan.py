@@ -103,7 +103,7 @@ def _tested(tokens: DataFrame) -> DataFrame:
         ),
     )
     df = F.col("size") - 1
-    chi = F.col("squares") * F.col("size") / F.col("n") - F.col("n")
+    chi = F.col("squares") * F.col("size") / F.greatest(F.col("n"), F.lit(1.0)) - F.col("n")
     spread = F.lit(2.0) / (df * 9)
     t = t.withColumn("z_chi", (F.pow(F.greatest(chi, F.lit(0.0)) / df, F.lit(1 / 3)) - 1 + spread) / F.sqrt(spread))
     codes = "transform(sequence(1, cast(n as int)), i -> cast(instr(alphabet, substr(symbols, i, 1)) as double) - (size + 1) / 2)"
