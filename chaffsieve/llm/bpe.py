@@ -17,13 +17,16 @@ from __future__ import annotations
 import heapq
 import json
 import mmap
+import os
 import struct
 import tempfile
 import unicodedata
 import uuid
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +41,13 @@ LEXICON_WORDS = 1 << 16
 #: Longer words are not worth a place in it.
 LEXICON_BYTES = 48
 #: Pieces between blanks that a worker remembers.
-CACHE = 200_000
+CACHE = 150_000
 _MAGIC = b"MAT1"
+#: Bits of an id, and a rank after all others.
+_ID = 20
+_MASK, _NONE = (1 << _ID) - 1, 1 << 62
 #: Fixed values of the tokenizer: its split pattern, with the Unicode blanks spelled out.
-_BLANK = r"\t-\r \x85\xa0  -     　"
+_BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PATTERN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_BLANK}\p{{L}}\p{{N}}]+")
 #: Blanks for str.split() that are none for the tokenizer.
 _NO_BLANKS = ("\x1c", "\x1d", "\x1e", "\x1f")
@@ -65,38 +71,47 @@ class Bpe:
         self.end: str = model.get("end_of_word_suffix") or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         v = self.vocab
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        # Both ids of a pair in one number, and its rank above the new id in another: the least is the first to merge.
+        self.merges: dict[int, int] = {}
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges[v[a], v[b]] = (rank, v[a + b])
+            self.merges[v[a] << _ID | v[b]] = rank << _ID | v[a + b]
         symbols = byte_symbols()
         self.first = [v[s] for s in symbols]
         self.last = [v[s + self.end] for s in symbols]
         names = {i: t for t, i in [*v.items(), *self.special.items()]}
         self.tokens = [names.get(i, "").encode() for i in range(max(names) + 1)]
+        self.mark = os.path.commonprefix(list(self.special))  # stands in every special token
         self.split = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one word: the pair of the lowest rank is merged first, the leftmost among equals."""
         ids = [*map(self.first.__getitem__, word[:-1]), self.last[word[-1]]]
-        if len(ids) > 24:
+        if len(ids) > 256:
             return self._merge_long(ids)
         get = self.merges.get
-        while len(ids) > 1:
-            best, at = None, 0
-            for i, pair in enumerate(zip(ids, ids[1:])):
-                m = get(pair)
-                if m is not None and (best is None or m[0] < best[0]):
-                    best, at = m, i
-            if best is None:
-                break
-            ids[at : at + 2] = [best[1]]
+        ranks = [get(a << _ID | b, _NONE) for a, b in pairwise(ids)]
+        while ranks and (least := min(ranks)) != _NONE:
+            i = ranks.index(least)
+            new = ids[i] = least & _MASK
+            del ranks[i], ids[i + 1]
+            if i < len(ranks):
+                ranks[i] = get(new << _ID | ids[i + 1], _NONE)
+            if i:
+                ranks[i - 1] = get(ids[i - 1] << _ID | new, _NONE)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
+        """The same with a heap for words of which a pass for each merge would take too long."""
         n, get = len(ids), self.merges.get
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        heap = [(m[0], i, ids[i], ids[i + 1], m[1]) for i in range(n - 1) if (m := get((ids[i], ids[i + 1])))]
+
+        def entry(i: int) -> tuple[int, int, int, int, int] | None:
+            j = after[i]
+            m = get(ids[i] << _ID | ids[j]) if j >= 0 else None
+            return None if m is None else (m >> _ID, i, ids[i], ids[j], m & _MASK)
+
+        heap = [e for i in range(n - 1) if (e := entry(i))]
         heapq.heapify(heap)
         while heap:
             _, i, a, b, new = heapq.heappop(heap)
@@ -107,10 +122,9 @@ class Bpe:
             after[i] = k = after[j]
             if k >= 0:
                 before[k] = i
-                if m := get((new, ids[k])):
-                    heapq.heappush(heap, (m[0], i, new, ids[k], m[1]))
-            if (h := before[i]) >= 0 and (m := get((ids[h], new))):
-                heapq.heappush(heap, (m[0], h, ids[h], new, m[1]))
+            for at in (i, before[i]):
+                if at >= 0 and (e := entry(at)):
+                    heapq.heappush(heap, e)
         return [x for x in ids if x >= 0]
 
     def words(self, piece: str) -> list[str]:
@@ -215,47 +229,61 @@ class Lexicon:
             rank[:] = -1
         return rank
 
-    def get(self, words: list[bytes]) -> list[list[int] | None]:
-        lo, ids = self.offsets, self.ids
-        return [None if r < 0 else ids[lo[r] : lo[r + 1]].tolist() for r in self.ranks(words).tolist()]
+    def packed(self, words: list[bytes]) -> list[bytes | None]:
+        """The ids of each word as bytes, None for those that are not in it."""
+        rank = self.ranks(words)
+        ids = self.ids.tobytes()
+        start, end = (4 * self.offsets[np.maximum(rank, 0) + k].astype(np.int64) for k in (0, 1)) if len(self.offsets) > 1 else (rank, rank)
+        return [ids[a:b] if r >= 0 else None for r, a, b in zip(rank.tolist(), start.tolist(), end.tolist(), strict=True)]
 
 
 class Encoder:
-    """Encodes whole texts with a lexicon, remembering pieces between blanks."""
+    """Encodes whole texts with a lexicon, remembering pieces between blanks in two generations: pieces that were not
+    met in the time of one generation are forgotten."""
 
     def __init__(self, bpe: Bpe, lexicon: Lexicon):
-        self.bpe, self.lexicon, self.known = bpe, lexicon, {}
+        self.bpe, self.lexicon = bpe, lexicon
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def _learn(self, pieces: set[str]) -> None:
+    def _learn(self, pieces: list[str]) -> None:
         """Ids of new pieces, as bytes."""
-        parts: dict[str, list] = {}
+        special, own_words, mark = self.bpe.special, self.bpe.words, self.bpe.mark
+        parts: list[list[str]] = []
         for piece in pieces:
+            if not special or mark not in piece:
+                parts.append(own_words(piece))
+                continue
             own, at = [], 0
-            for m in self.bpe.split.finditer(piece) if self.bpe.split else ():
-                own += [*self.bpe.words(piece[at : m.start()]), self.bpe.special[m.group()]]
+            for m in self.bpe.split.finditer(piece):
+                own += [*own_words(piece[at : m.start()]), m.group()]
                 at = m.end()
-            parts[piece] = own + self.bpe.words(piece[at:] if at else piece)
-        words = list({w for own in parts.values() for w in own if isinstance(w, str)})
+            parts.append(own + own_words(piece[at:]))
+        words = list({w for own in parts for w in own})
         raw = [w.encode() for w in words]
-        ids = {
-            w: np.array(self.bpe.merge(r) if got is None else got, "<u4").tobytes()
-            for w, r, got in zip(words, raw, self.lexicon.get(raw), strict=True)
-        }
-        for piece, own in parts.items():
-            self.known[piece] = b"".join(ids[w] if isinstance(w, str) else struct.pack("<I", w) for w in own)
+        ids = {w: struct.pack("<I", i) for w, i in special.items()}
+        for w, r, got in zip(words, raw, self.lexicon.packed(raw), strict=True):
+            if w not in special:
+                ids[w] = array("I", self.bpe.merge(r)).tobytes() if got is None else got
+        for piece, own in zip(pieces, parts, strict=True):
+            self.young[piece] = ids[own[0]] if len(own) == 1 else b"".join([ids[w] for w in own])
 
     def encode(self, text: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         pieces = [pieces_of(t) for t in text]
-        out = []
-        for own in pieces:
-            if len(self.known) > CACHE:
-                self.known = {}
-            new = {p for p in own if p not in self.known}
-            if new:
-                self._learn(new)
-            out.append(b"".join([self.known[p] for p in own]) if own else b"")
-        return out
+        if len(self.young) > CACHE:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        new = []
+        for p in set().union(*pieces).difference(young):
+            ids = old.get(p)
+            if ids is None:
+                new.append(p)
+            else:
+                young[p] = ids
+        if new:
+            self._learn(new)
+        return [b"".join(map(young.__getitem__, own)) for own in pieces]
 
 
 def pieces_of(text: str | None) -> list[str]:
@@ -284,7 +312,7 @@ def frequent_words(docs: DataFrame, bpe: Bpe, most: int = LEXICON_WORDS) -> list
         for part in slices(batches):
             for b in part.column("body").to_pylist():
                 tally.update((b or b"").decode().split())
-            if len(tally) > 4 * CACHE:
+            if len(tally) > 600_000:
                 yield flush()
         yield flush()
 
