@@ -41,7 +41,7 @@ LEXICON_WORDS = 1 << 16
 #: Longer words are not worth a place in it.
 LEXICON_BYTES = 48
 #: Pieces between blanks that a worker remembers.
-CACHE = 150_000
+CACHE = 80_000
 _MAGIC = b"MAT1"
 #: Bits of an id, and a rank after all others.
 _ID = 20
@@ -312,7 +312,7 @@ def frequent_words(docs: DataFrame, bpe: Bpe, most: int = LEXICON_WORDS) -> list
         for part in slices(batches):
             for b in part.column("body").to_pylist():
                 tally.update((b or b"").decode().split())
-            if len(tally) > 600_000:
+            if len(tally) > 250_000:
                 yield flush()
         yield flush()
 
