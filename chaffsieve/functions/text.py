@@ -40,7 +40,7 @@ def trimmed(c: Column) -> Column:
 
 
 def utf16_length(c: Column) -> Column:
-    return F.length(c) + F.length(F.regexp_replace(c, r"[^\x{10000}-\x{10FFFF}]", ""))
+    return F.shiftright(F.octet_length(F.encode(c, "UTF-16BE")), 1)
 
 
 def is_blank(c: Column) -> Column:
@@ -64,7 +64,8 @@ def matches_prefix(c: Column, keys: tuple[str, ...] = PREFIX_KEYS) -> Column:
     """The whole line, or the beginning of a short one up to a word's end."""
     key = line_key(c)
     short = (utf16_length(key) <= SHORT_LINE) & key.rlike(prefix_pattern(keys))
-    return key.isin(*keys) | short
+    # One look at the line's beginning spares most lines the rest.
+    return c.rlike(rf"(?iu)^[#*{WS}-]*({'|'.join(keys)})") & (key.isin(*keys) | short)
 
 
 def prefix_pattern(keys: tuple[str, ...] = PREFIX_KEYS) -> str:
@@ -105,10 +106,11 @@ def may_hold_code(c: Column) -> Column:
 
 def normalized_prose(c: Column) -> Column:
     """Heading marks go, bold marks at word bounds go, blanks collapse."""
-    bare = F.regexp_replace(c, rf"(?m)^[{WS}]*#{{1,6}}[{WS}]+", "")
+    bare = F.when(F.contains(c, F.lit("#")), F.regexp_replace(c, rf"(?m)^[{WS}]*#{{1,6}}[{WS}]+", "")).otherwise(c)
     # ECMAScript's \w and dot: no line end inside the bold span.
     bold = rf"(?<![A-Za-z0-9_])\*\*([^{WS}](?:[^\n\r  ]*?[^{WS}])?)\*\*(?![A-Za-z0-9_])"
-    return trimmed(F.regexp_replace(F.regexp_replace(bare, bold, "$1"), rf"[{WS}]+", " "))
+    plain = F.when(F.contains(bare, F.lit("**")), F.regexp_replace(bare, bold, "$1")).otherwise(bare)
+    return trimmed(F.regexp_replace(plain, rf"[{WS}]+", " "))
 
 
 def lines_of(c: Column) -> Column:
@@ -130,7 +132,7 @@ def is_empty_takeaways(c: Column, title: Column) -> Column:
 def needs_line_pass(c: Column, title: Column) -> Column:
     """Whether boilerplate lines or repeats of the title could go, or code regions matter. False for most texts: their
     lines need no look at all. It may be true for texts of which nothing goes."""
-    listed = c.rlike(rf"(?im)^[#*{WS}-]*({'|'.join(PREFIX_KEYS)})")
+    listed = c.rlike(rf"(?ium)^[#*{WS}-]*({'|'.join(PREFIX_KEYS)})")
     word = F.substring(F.substring_index(normalized_title(title), " ", 1), 1, TITLE_LINE)
     twice = F.length(c) - F.length(F.replace(F.lower(c), word, F.lit(""))) >= 2 * F.length(word)
     return listed | (c.contains("\n") & (word != "") & twice)

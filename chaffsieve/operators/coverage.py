@@ -25,25 +25,27 @@ def covered(snippets: DataFrame) -> DataFrame:
     prose = snippets.select(*key, "position", T.normalized_prose(F.col("text")).alias("prose"))
     prose = prose.withColumn("units", T.utf16_length(F.col("prose"))).filter(F.col("units") >= LEAST_UNITS)
     words = prose.select(
-        *key, "position", "units", "prose",
+        *key, "position", "units",
         F.explode(F.array_union(F.regexp_extract_all("prose", F.lit(rf"{WORD}+"), F.lit(0)), F.array(F.lit("")))).alias("word"),
     )
-    spread = words.groupBy(*key, "word").agg(F.count("*").alias("n"))
+    spread = words.groupBy(*key, "word").agg(F.count("*").alias("n")).filter("n > 1")
+    # The empty word stands for texts without any word character; a word of one snippet says that nothing contains it.
     rare = (
-        words.select(*key, "position", "word").join(spread, [*key, "word"])
-        .groupBy(*key, "position")
-        .agg(F.min(F.struct("n", "word")).alias("rarest"))
+        words.join(spread, [*key, "word"], "left")
+        .groupBy(*key, "position", "units")
+        .agg(F.min(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "word")).alias("rarest"))
         .filter("rarest.n > 1")
-        .select(*key, F.col("position").alias("inner_position"), F.col("rarest.word").alias("word"))
+        .select(*key, F.col("position").alias("inner_position"), F.col("units").alias("inner_units"), F.col("rarest.word").alias("word"))
     )
-    # The empty word stands for texts without any word character.
-    inner = prose.select(*key, F.col("position").alias("inner_position"), F.col("units").alias("inner_units"), F.col("prose").alias("inner_prose"))
-    pairs = rare.join(words, [*key, "word"]).join(inner, [*key, "inner_position"])
     first = (F.col("units") > F.col("inner_units")) | (
         (F.col("units") == F.col("inner_units")) & (F.col("position") < F.col("inner_position"))
     )
+    # Texts join only what is left of the pairs.
+    pairs = rare.join(words, [*key, "word"]).filter(first).drop("word", "inner_units", "units")
+    inner = prose.select(*key, F.col("position").alias("inner_position"), F.col("prose").alias("inner_prose"))
+    pairs = pairs.join(inner, [*key, "inner_position"]).join(prose, [*key, "position"])
     whole = F.concat(F.lit(rf"(^|[^\p{{L}}\p{{N}}_])\Q"), F.replace("inner_prose", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(r"\E([^\p{L}\p{N}_]|\z)"))
-    hit = pairs.filter(first & F.contains("prose", F.col("inner_prose")) & F.regexp(F.col("prose"), whole))
+    hit = pairs.filter(F.contains("prose", F.col("inner_prose")) & F.regexp(F.col("prose"), whole))
     return (
         hit.groupBy(*key, F.col("inner_position").alias("position"))
         .agg(F.min_by("position", F.struct(-F.col("units"), F.col("position"))).alias("covered_by"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from chaffsieve.functions import decisions as D
 from chaffsieve.operators import classifier, local_rules, verdicts
+from chaffsieve.sources.scratch import written
 
 KEY = ["request_id", "source_index"]
 
@@ -33,16 +34,17 @@ def run(sources: DataFrame, mode: str = "on", answers: DataFrame | None = None,
     rows = local_rules.applied(sources, platforms=mode != "off")
     if mode == "off" or answers is None:
         return Filtered(verdicts.finished(marked, rows), rows, None)
-    tiles = classifier.tiled(classifier.candidates(marked, rows))
+    rows = written(rows, "rules")
+    tiles = written(classifier.tiled(classifier.candidates(marked, rows)), "tiles")
     asked = classifier.questions(tiles)
     got = classifier.answered(asked, answers)
     replied = answers.select("request_id").distinct().withColumn("status", F.lit("answered"))
     pages = classifier.page_answers(got).join(replied, "request_id", "left").withColumn("status", F.coalesce("status", F.lit("failed")))
     judged_sources = verdicts.page_verdicts(marked, pages, thresholds)
-    judged = classifier.judged_snippets(tiles, got)
+    judged = written(classifier.judged_snippets(tiles, got), "judged")
     eligible = verdicts.cleanup_eligible(judged_sources, judged)
     active = judged_sources.select(*KEY, ((F.col("verdict") == "keep") & (F.col("status") == "answered")).alias("active"))
-    decided = verdicts.snippet_verdicts(judged.join(active, KEY), thresholds)
+    decided = written(verdicts.snippet_verdicts(judged.join(active, KEY), thresholds), "decided")
     final = verdicts.final_cleanup(decided, eligible)
     shared = ["request_id", "source_index", "url", "title", "index", "part", "text", "kept", "reason", "route", "actions"]
     # What was dropped before has no judgment; both together are all rows.
