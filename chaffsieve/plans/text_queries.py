@@ -159,14 +159,15 @@ def empty_takeaways(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter(T.is_empty_takeaways(F.expr(_TAKE.replace("chr(10)", "'\n'")), F.expr(_PAGE))).select("request_id", "source_index", "index")
 
 
-_COVER_SQL = rf"""prose AS (
+_COVER_SQL = rf"""prose AS MATERIALIZED (
   SELECT request_id, source_index, index AS position, {B.sql_trim(f"regexp_replace(text, '[{T.WS}]+', ' ', 'g')")} AS t FROM snip),
-long AS (SELECT *, {B.sql_units('t')} AS u FROM prose WHERE {B.sql_units('t')} >= 40),
-pairs AS (
-  SELECT i.request_id, i.source_index, i.position, o.position AS outer_position, o.u
+long AS MATERIALIZED (SELECT *, {B.sql_units('t')} AS u FROM prose WHERE {B.sql_units('t')} >= 40),
+held AS MATERIALIZED (
+  SELECT i.request_id, i.source_index, i.position, o.position AS outer_position, o.u, i.t AS inner_t, o.t AS outer_t
   FROM long i JOIN long o ON i.request_id = o.request_id AND i.source_index = o.source_index
-    AND (o.u > i.u OR (o.u = i.u AND o.position < i.position)) AND contains(o.t, i.t)
-  WHERE regexp_matches(o.t, '(^|[^\p{{L}}\p{{N}}_])' || regexp_escape(i.t) || '($|[^\p{{L}}\p{{N}}_])')),
+    AND (o.u > i.u OR (o.u = i.u AND o.position < i.position)) AND contains(o.t, i.t)),
+pairs AS (
+  SELECT * FROM held WHERE regexp_matches(outer_t, '(^|[^\p{{L}}\p{{N}}_])' || regexp_escape(inner_t) || '($|[^\p{{L}}\p{{N}}_])')),
 covered AS (
   SELECT request_id, source_index, position, arg_min(outer_position, (-u, outer_position)) AS covered_by FROM pairs GROUP BY ALL)"""
 
