@@ -7,11 +7,11 @@
    union differs, so for sets of up to k shingles and a union of six or more such a shared run always exists (sets of
    four and five also give runs of two); for larger sets a pair at exactly 0.8 shares no run with a chance of about
    2e-10.
-3. Each list links its members to its smallest member: lists give one row a member, never pairs. Members of very
-   different sizes are not linked, as their similarity cannot be high.
-4. Links whose union-sketch estimate of the similarity is too low to matter go. What hangs together after that is a
-   neighbourhood.
-5. Inside each neighbourhood the exact Jaccard similarity of the full sets decides, as matrix products of tiles of at
+3. Each list links its members to its smallest member: lists of the same members count once, and give one row a member.
+   Links of very different sizes, or whose union-sketch estimate of the similarity is too low to matter, go.
+4. A list of which no link went has all its members in one neighbourhood. Where one went, two others may still be
+   similar to each other and not to the smallest: all pairs of such a list are compared by their sketches, in tiles.
+5. What hangs together after that is a neighbourhood. Inside each neighbourhood the exact Jaccard similarity of the full sets decides, as matrix products of tiles of at
    most TILE documents; a large neighbourhood is cut into pairs of tiles, so no task gets more than two tiles. Each
    pair of tiles returns a spanning forest of its links, and the components of these are the groups.
 
@@ -93,24 +93,25 @@ def estimate(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _estimated(links: DataFrame, low: DataFrame, least: float) -> DataFrame:
+    """a, b and near (whether the estimate reaches `least`)."""
+
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pairs = zip(batch.column("low_a").to_pylist(), batch.column("low_b").to_pylist(), strict=True)
             good = [estimate(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) >= least for a, b in pairs]
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("a"), batch.column("b"), pa.array(good, pa.bool_())], names=["a", "b", "near"]
+            )
 
     return (
         links.join(low.select(F.col("doc_id").alias("a"), F.col("low").alias("low_a")), "a")
         .join(low.select(F.col("doc_id").alias("b"), F.col("low").alias("low_b")), "b")
-        .mapInArrow(keep, "a long, b long")
+        .mapInArrow(keep, "a long, b long, near boolean")
     )
 
 
-def _forest(ids: np.ndarray, sets: list[np.ndarray], threshold: tuple[int, int], sides: np.ndarray | None) -> list:
-    """A spanning forest of the pairs with enough in common, by exact set sizes and intersections.
-
-    sides: 0 or 1 for each document; with both present, only pairs across are looked at.
-    """
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """The sizes of the intersections of all pairs."""
     sizes = np.array([len(s) for s in sets], np.int64)
     flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
     value, column = np.unique(flat, return_inverse=True)
@@ -123,14 +124,35 @@ def _forest(ids: np.ndarray, sets: list[np.ndarray], threshold: tuple[int, int],
         grid = np.zeros((len(sets), 4096), np.float32)
         grid[owner[here], column[here] - start] = 1
         common += grid @ grid.T
-    both = common.astype(np.int64)
-    union = sizes[:, None] + sizes[None, :] - both
-    linked = threshold[1] * both >= threshold[0] * union
+    return common.astype(np.int64)
+
+
+def _alike(sets: list[np.ndarray], threshold: tuple[int, int]) -> np.ndarray:
+    """The pairs with enough in common, by exact set sizes and intersections."""
+    sizes, both = np.array([len(s) for s in sets], np.int64), _common(sets)
+    return threshold[1] * both >= threshold[0] * (sizes[:, None] + sizes[None, :] - both)
+
+
+def _maybe_alike(low: list[np.ndarray], n: np.ndarray, threshold: tuple[int, int], least: float) -> np.ndarray:
+    """The pairs that their sketches do not rule out: exact where both are whole sets, else no estimate that `estimate`
+    lets pass is lost."""
+    held, both = np.array([len(s) for s in low], np.int64), _common(low)
+    whole = np.maximum(n[:, None], n[None, :]) <= SKETCH
+    exact = threshold[1] * both >= threshold[0] * (held[:, None] + held[None, :] - both)
+    sized = threshold[1] * np.minimum(n[:, None], n[None, :]) >= threshold[0] * np.maximum(n[:, None], n[None, :])
+    return np.where(whole, exact, sized & (both >= least * np.maximum(held[:, None], held[None, :])))
+
+
+def _forest(ids: np.ndarray, linked: np.ndarray, sides: np.ndarray | None) -> list:
+    """A spanning forest of the linked pairs.
+
+    sides: 0 or 1 for each document; with both present, only pairs across are looked at.
+    """
     if sides is not None:
         linked &= sides[:, None] != sides[None, :]
-    edges, seen = [], np.zeros(len(sets), bool)
+    edges, seen = [], np.zeros(len(ids), bool)
     linked |= linked.T
-    for start in range(len(sets)):
+    for start in range(len(ids)):
         if seen[start]:
             continue
         seen[start], todo = True, [start]
@@ -143,34 +165,56 @@ def _forest(ids: np.ndarray, sets: list[np.ndarray], threshold: tuple[int, int],
     return edges
 
 
-def _verified(docs: DataFrame, known: DataFrame, near: DataFrame, size: int, threshold: tuple[int, int]) -> DataFrame:
-    """Exact links (a, b) within the neighbourhoods (id, component)."""
-    near = near.select(F.col("id").alias("doc_id"), F.col("component").alias("area"))
-    areas = near.join(known.select("doc_id", "n"), "doc_id").groupBy("area").agg(
-        F.greatest(F.ceil(F.count("*") / F.lit(TILE)), F.ceil(F.sum("n") / F.lit(TILE_VALUES))).cast("int").alias("tiles")
-    )
-    small = near.join(written(areas, "areas"), "area")
+def _dealt(rows: DataFrame, *keep: str) -> DataFrame:
+    """Rows of area, tiles and doc_id dealt to the pairs (p, q) of tiles of their area, and the side they are on.
+
+    Each document of tile t goes to the pairs (t, x) of tiles, x from 0 up; a single tile is one pair with itself."""
     tile = F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int")
-    # Each document of tile t goes to the pairs (t, x) of tiles, x from 0 up; a single tile is one pair with itself.
-    dealt = (
-        docs.join(small, "doc_id")
-        .withColumn("tile", tile)
+    return (
+        rows.withColumn("tile", tile)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         .select(
             "area",
             F.least("tile", "other").alias("p"),
             F.greatest("tile", "other").alias("q"),
             (F.col("tile") > F.col("other")).alias("side"),
-            "doc_id",
-            "body",
+            *keep,
         )
     )
 
+
+def _among(rest: DataFrame, known: DataFrame, threshold: tuple[int, int], least: float) -> DataFrame:
+    """Links (a, b) between any two members of the lists (area, m, doc_id), as far as sketches can tell."""
+    rows = rest.withColumn("tiles", F.ceil(F.col("m") / F.lit(TILE)).cast("int"))
+    dealt = _dealt(rows.join(known.select("doc_id", "n", "low"), "doc_id"), "doc_id", "n", "low")
+
+    def link(key: tuple, group: pa.Table) -> pa.Table:
+        ids, n = group.column("doc_id").to_numpy(), group.column("n").to_numpy()
+        low = [np.frombuffer(x, np.uint64) for x in group.column("low").to_pylist()]
+        side = group.column("side").to_numpy(zero_copy_only=False).astype(bool)
+        sides = side if key[1].as_py() != key[2].as_py() else None
+        edges = _forest(ids, _maybe_alike(low, n, threshold, least), sides)
+        return pa.table(
+            {"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())}
+        )
+
+    return dealt.groupBy("area", "p", "q").applyInArrow(link, "a long, b long")
+
+
+def _verified(docs: DataFrame, known: DataFrame, near: DataFrame, size: int, threshold: tuple[int, int]) -> DataFrame:
+    """Exact links (a, b) within the neighbourhoods (id, component)."""
+    near = near.select(F.col("id").alias("doc_id"), F.col("component").alias("area"))
+    areas = near.join(known.select("doc_id", "n"), "doc_id").groupBy("area").agg(
+        F.greatest(F.ceil(F.count("*") / F.lit(TILE)), F.ceil(F.sum("n") / F.lit(TILE_VALUES))).cast("int").alias("tiles")
+    )
+    small = near.join(written(areas, "areas"), "area")
+    dealt = _dealt(docs.join(small, "doc_id"), "doc_id", "body")
+
     def link(key: tuple, group: pa.Table) -> pa.Table:
         bodies, ids = group.column("body").to_pylist(), group.column("doc_id").to_numpy()
         sets = [np.unique(shingle_hashes(word_hashes((b or b"").lower().split()), size)) for b in bodies]
         side = group.column("side").to_numpy(zero_copy_only=False).astype(bool)
-        edges = _forest(ids, sets, threshold, side if key[1].as_py() != key[2].as_py() else None)
+        edges = _forest(ids, _alike(sets, threshold), side if key[1].as_py() != key[2].as_py() else None)
         return pa.table(
             {"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())}
         )
@@ -190,17 +234,34 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: tuple[int, int] =
     listed = heads.select("doc_id", "n", F.explode("runs").alias("run"))
     centre = (
         listed.groupBy("run")
-        .agg(F.min("doc_id").alias("b"), F.min_by("n", "doc_id").alias("n_b"), F.count("*").alias("m"))
+        .agg(
+            F.min("doc_id").alias("b"),
+            F.min_by("n", "doc_id").alias("n_b"),
+            F.count("*").alias("m"),
+            F.bit_xor(F.xxhash64("doc_id")).alias("who"),
+        )
         .filter("m > 1")
     )
     least = threshold[0] / threshold[1] - MARGIN
-    links = (
+    # Of the lists with the same members one is enough.
+    members = written(
         listed.join(centre, "run")
-        .filter((F.col("doc_id") != F.col("b")) & (F.least("n", "n_b") >= least * F.greatest("n", "n_b")))
-        .groupBy(F.col("doc_id").alias("a"), "b")
-        .agg(F.count("*").alias("overlap"))
+        .filter(F.col("doc_id") != F.col("b"))
+        .groupBy(F.xxhash64("b", "m", "who").alias("area"), F.col("doc_id").alias("a"), "b")
+        .agg(F.first("m").alias("m"), F.first(F.least("n", "n_b") >= least * F.greatest("n", "n_b")).alias("sized")),
+        "members",
+    )
+    stars = members.groupBy("a", "b").agg(F.first("sized").alias("sized"))
+    low = known.select("doc_id", "low")
+    judged = written(_estimated(stars.filter("sized").select("a", "b"), low, least), "judged")
+    # In a list of two the one pair has been looked at.
+    open_lists = members.filter("m > 2")
+    refused = open_lists.filter("not sized").select("area").unionByName(
+        open_lists.join(judged.filter("not near").select("a", "b"), ["a", "b"]).select("area")
     )
-    near = written(components(_estimated(links.select("a", "b"), known.select("doc_id", "low"), least)), "near")
+    rest = open_lists.join(refused.distinct(), "area").select("area", "m", F.col("a").alias("doc_id"))
+    links = judged.filter("near").select("a", "b").unionByName(_among(rest, known, threshold, least))
+    near = written(components(links), "near")
     exact = written(components(_verified(docs, known, near, size, threshold)), "exact")
     found = classes.join(exact.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
         "n", "sig_a", "sig_b", F.coalesce("component", "doc_id").alias("component_id")

@@ -84,6 +84,20 @@ def test_near_duplicates(spark, size):
     assert got == brute_groups(list(enumerate(texts)), size)
 
 
+@pytest.mark.parametrize("tile", [512, 5])
+def test_short_texts_of_stock_phrases(spark, monkeypatch, tile):
+    """Every list of a similar pair may begin with a text that is like neither."""
+    monkeypatch.setattr(near_dup, "TILE", tile)
+    rng, words = random.Random(7), vocabulary(12, 7)
+    phrases = [rng.choices(words, k=3) for _ in range(9)]
+    texts = []
+    for _ in range(250):
+        text = [w for p in rng.choices(phrases, k=rng.choice([1, 2, 2, 3])) for w in p]
+        texts.append(" ".join(text[rng.randint(0, 1) :] + rng.choices(words, k=rng.randint(0, 2))))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(table(spark, texts), 2).collect()}
+    assert got == brute_groups(list(enumerate(texts)), 2)
+
+
 def test_large_group_is_cut_into_tiles(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "TILE", 7)
     rng, words = random.Random(3), vocabulary()
