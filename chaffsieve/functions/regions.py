@@ -19,6 +19,17 @@ def _bits(flags: list[bool]) -> str:
     return "".join("1" if f else "0" for f in flags)
 
 
+def without_code(rows: DataFrame) -> DataFrame:
+    """The rows whose text holds no code, all columns kept. Only texts with marks of code take the exact pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([not L.has_code(t) for t in batch.column("text").to_pylist()], pa.bool_()))
+
+    marked = T.may_hold_code(F.col("text"))
+    return rows.filter(~marked).unionByName(rows.filter(marked).mapInArrow(run, rows.schema))
+
+
 def line_flags(rows: DataFrame, key: str) -> DataFrame:
     """`key`, code and quoted for rows of `key` and text; null counts as the empty text, which is one line."""
     rows = rows.select(key, F.coalesce("text", F.lit("")).alias("text"))

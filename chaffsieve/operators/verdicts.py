@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chaffsieve.functions import decisions as D
 from chaffsieve.functions import text as T
+from chaffsieve.functions.regions import without_code
 from chaffsieve.operators import coverage
 from chaffsieve.operators.work_table import drop_empty
 
@@ -57,8 +58,9 @@ def cleanup_eligible(sources: DataFrame, judged: DataFrame) -> DataFrame:
 def final_cleanup(rows: DataFrame, eligible: DataFrame) -> DataFrame:
     """Kept snippets of eligible sources that are empty takeaways (boilerplate) or covered (dup), with covered_by.
 
-    rows: snippet rows with position and title. Texts that may hold code are left alone, as a column test can tell."""
-    fit = rows.filter("kept").join(eligible, KEY, "left_semi").filter(~T.may_hold_code(F.col("text")))
+    rows: snippet rows with position and title. Texts that hold code are left alone."""
+    mine = rows.filter("kept").join(eligible, KEY, "left_semi").select(*KEY, "position", "text", "title")
+    fit = without_code(mine)
     bare = T.is_empty_takeaways(F.col("text"), F.col("title"))
     gone = coverage.covered(fit.filter(~bare)).select(*KEY, "position", "covered_by").withColumn("final", F.lit("same_source_exact_coverage"))
     empty = fit.filter(bare).select(*KEY, "position", F.lit(None).cast("long").alias("covered_by"), F.lit("empty_takeaways").alias("final"))

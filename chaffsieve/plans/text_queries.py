@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chaffsieve.functions import text as T
-from chaffsieve.functions.regions import line_flags
+from chaffsieve.functions.regions import line_flags, without_code
 from chaffsieve.operators import coverage, local_rules, work_table
 from chaffsieve.plans import base as B
 from chaffsieve.plans.registry import query
@@ -177,7 +177,7 @@ covered AS (
     f"WITH {_S}, {_SNIP}, {_COVER_SQL} SELECT request_id, source_index, position, covered_by FROM covered",
 )
 def same_source_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = work_table.snippet_rows(B.sources(spark, sf_dir)).filter(~T.may_hold_code(F.col("text")))
+    rows = without_code(work_table.snippet_rows(B.sources(spark, sf_dir)))
     return coverage.covered(rows.withColumn("position", F.col("index")))
 
 

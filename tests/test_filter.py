@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from chaffsieve.functions import decisions as D
 from chaffsieve.functions import lines as L
 from chaffsieve.functions import text as T
-from chaffsieve.operators import coverage, filter as whole, local_rules, rollups, work_table
+from chaffsieve.operators import coverage, filter as whole, local_rules, rollups, verdicts, work_table
 from chaffsieve.sources import config, logs, remote, responses
 
 TITLE = "A title that is long"
@@ -73,6 +73,18 @@ def test_plain_path_equals_line_pass(spark):
         assert got[i] == (want.kept, want.text if want.kept else None)
 
 
+def test_final_cleanup_leaves_out_only_real_code(spark):
+    long = "one two three four five six seven eight nine ten"
+    texts = [f"{long}\tand more", long, f"{long} x    y", f"{long} ~~~ z", f"`a` {long}", f"    {long}", f"\t{long}", f"~~~\n{long}\n~~~",
+             f"# {TITLE}\nKey    takeaways", f"# {TITLE}  \t\nKey takeaways"]
+    rows = [("r", 0, i, t, TITLE, True, None) for i, t in enumerate([*texts, long + " x y"])]
+    df = spark.createDataFrame(rows, "request_id string, source_index int, position int, text string, title string, kept boolean, reason string")
+    out = verdicts.final_cleanup(df, df.select("request_id", "source_index").distinct())
+    got = {r.position: (r.reason, r.covered_by) for r in out.filter("not kept").collect()}
+    assert got == {1: ("dup", 0), 9: ("boilerplate", None), 10: ("dup", 2)}
+    assert out.count() == len(rows)
+
+
 def test_coverage_by_brute_force(spark):
     words = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta"]
     import random
