@@ -5,7 +5,7 @@ Words are runs of [0-9a-z] and non-ASCII characters after A-Z became a-z. The wi
 decide on a document window, so a hit is never a hash collision.
 
 The items go out as broadcasts of at most BLOCK_BYTES; more items mean more blocks and one scan for each, never a
-larger broadcast.
+larger broadcast. The results do not depend on the number of blocks.
 
 Defined cases: null, empty or wordless texts have no words and no hits; items that are null, wordless or without id
 have no windows; repeated items count once by item_id; repeated documents are scanned row by row; other columns are
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chaffsieve.llm._common import ALNUM, rolling, slices, texts, word_hashes
+from chaffsieve.llm._common import ALNUM, rolling, slices, texts, word_hashes, written
 
 WINDOW = 10
 #: Most bytes of item text in one broadcast.
@@ -111,36 +111,46 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
         yield [(r[0], bytes(r[1])) for r in block.toLocalIterator()]
 
 
+def _sent(docs: DataFrame, items: DataFrame) -> list[tuple]:
+    """The blocks of items as broadcasts, each with a key for its index."""
+    sc = docs.sparkSession.sparkContext
+    return [(sc.broadcast(block), uuid.uuid4().hex) for block in _blocks(items)]
+
+
+def _scanned(docs: DataFrame, block: tuple, window: int) -> DataFrame:
+    """docs: row, doc_id and body. A row for each of them with its hits in one block of items."""
+    sent, key = block
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = _index(key, sent.value, window)
+        for part in slices(batches):
+            found = [words(b) for b in part.column("body").to_pylist()]
+            seen = index.scan(found)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column("row"),
+                    part.column("doc_id"),
+                    pa.array([len(w) for w in found], pa.int64()),
+                    pa.array(
+                        [[{"start": s, "end": e} for s, e in runs] for runs, _ in seen],
+                        pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])),
+                    ),
+                    pa.array([ids for _, ids in seen], pa.list_(pa.int64())),
+                ],
+                names=["row", "doc_id", "n_words", "hits", "item_ids"],
+            )
+
+    return docs.mapInArrow(scan, f"row long, doc_id long, n_words long, hits {_HITS}, item_ids array<long>")
+
+
 def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, hits (merged runs of hit words, end exclusive) and item_ids (sorted), a row for each document."""
-    docs, sc = texts(docs), docs.sparkSession.sparkContext
-    parts = []
-    for block in _blocks(items):
-        sent = sc.broadcast(block)
-        key = uuid.uuid4().hex
-
-        def scan(batches: Iterator[pa.RecordBatch], sent=sent, key=key) -> Iterator[pa.RecordBatch]:
-            index = _index(key, sent.value, window)
-            for part in slices(batches):
-                found = [words(b) for b in part.column("body").to_pylist()]
-                seen = index.scan(found)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"),
-                        pa.array([len(w) for w in found], pa.int64()),
-                        pa.array(
-                            [[{"start": s, "end": e} for s, e in runs] for runs, _ in seen],
-                            pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])),
-                        ),
-                        pa.array([ids for _, ids in seen], pa.list_(pa.int64())),
-                    ],
-                    names=["doc_id", "n_words", "hits", "item_ids"],
-                )
-
-        parts.append(docs.mapInArrow(scan, f"doc_id long, n_words long, hits {_HITS}, item_ids array<long>"))
-    if len(parts) == 1:
-        return parts[0]
-    return _merged(parts)
+    docs, blocks = texts(docs), _sent(docs, items)
+    if len(blocks) == 1:
+        return _scanned(docs.withColumn("row", F.lit(0).cast("long")), blocks[0], window).drop("row")
+    # Written, so that every block meets the same number on the same row.
+    docs = written(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+    return _merged([_scanned(docs, b, window) for b in blocks]).drop("row")
 
 
 def _merged(parts: list[DataFrame]) -> DataFrame:
@@ -154,53 +164,86 @@ def _merged(parts: list[DataFrame]) -> DataFrame:
           concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(x.end, element_at(a, -1).end))))
           else concat(a, array(x)) end)"""
     )
-    return out.groupBy("doc_id").agg(
+    return out.groupBy("row").agg(
+        F.first("doc_id").alias("doc_id"),
         F.max("n_words").alias("n_words"),
         united.alias("hits"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),
     )
 
 
+def _cut(body: bytes, runs: list[tuple[int, int]], drop_share: float) -> bytes | None:
+    """The text without the runs of words, or None where the whole document goes."""
+    low = body.translate(ALNUM)
+    if sum(e - s for s, e in runs) >= drop_share * len(low.split()):
+        return None
+    places = [m.span() for m in _WORD.finditer(low)]
+    kept, at = [], 0
+    for start, end in runs:
+        kept.append(body[at : places[start][0]])
+        at = places[end - 1][1]
+    return b"".join([*kept, body[at:]])
+
+
 def without(body: bytes, index: Index, drop_share: float = DROP_SHARE) -> bytes | None:
     """The text without its hit spans, or None where the whole document goes. What closes up is scanned again."""
-    while True:
-        low = body.translate(ALNUM)
-        found = low.split()
-        runs = index.scan([found])[0][0]
-        if not runs:
-            return body
-        if sum(e - s for s, e in runs) >= drop_share * len(found):
-            return None
-        places = [m.span() for m in _WORD.finditer(low)]
-        kept, at = [], 0
-        for start, end in runs:
-            kept.append(body[at : places[start][0]])
-            at = places[end - 1][1]
-        body = b"".join([*kept, body[at:]])
+    while body is not None and (runs := index.scan([words(body)])[0][0]):
+        body = _cut(body, runs, drop_share)
+    return body
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, drop_share: float = DROP_SHARE) -> DataFrame:
     """The documents, all columns kept, with hit spans cut out of the text; documents that are mostly hit go."""
-    schema, sc = docs.schema, docs.sparkSession.sparkContext
-    for block in _blocks(items):
-        sent = sc.broadcast(block)
-        key = uuid.uuid4().hex
-
-        def clean(batches: Iterator[pa.RecordBatch], sent=sent, key=key) -> Iterator[pa.RecordBatch]:
-            index = _index(key, sent.value, window)
-            for part in slices(batches, "text"):
-                bodies = [None if b is None else b.encode() for b in part.column("text").to_pylist()]
-                seen = index.scan([words(b) for b in bodies])
-                if any(runs for runs, _ in seen):
-                    new = [
-                        without(b, index, drop_share) if runs else b
-                        for b, (runs, _) in zip(bodies, seen, strict=True)
-                    ]
-                    keep = pa.array([not runs or n is not None for n, (runs, _) in zip(new, seen, strict=True)])
-                    text = pa.array([None if n is None else n.decode() for n in new], part.schema.field("text").type)
-                    part = part.set_column(part.schema.get_field_index("text"), part.schema.field("text"), text)
-                    part = part.filter(keep)
-                yield part
-
-        docs = docs.mapInArrow(clean, schema)
-    return docs
+    schema, blocks = docs.schema, _sent(docs, items)
+    if len(blocks) > 1:
+        return _cut_by_blocks(docs, blocks, window, drop_share)
+    sent, key = blocks[0]
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = _index(key, sent.value, window)
+        for part in slices(batches, "text"):
+            bodies = [None if b is None else b.encode() for b in part.column("text").to_pylist()]
+            seen = index.scan([words(b) for b in bodies])
+            if any(runs for runs, _ in seen):
+                new = [
+                    without(b, index, drop_share) if runs else b for b, (runs, _) in zip(bodies, seen, strict=True)
+                ]
+                part = _replaced(part, new, pa.array([not r or n is not None for n, (r, _) in zip(new, seen, strict=True)]))
+            yield part
+
+    return docs.mapInArrow(clean, schema)
+
+
+def _replaced(part: pa.RecordBatch, new: list[bytes | None], keep: pa.Array) -> pa.RecordBatch:
+    field = part.schema.field("text")
+    text = pa.array([None if n is None else n.decode() for n in new], field.type)
+    return part.set_column(part.schema.get_field_index("text"), field, text).filter(keep)
+
+
+def _cut_by_blocks(docs: DataFrame, blocks: list[tuple], window: int, drop_share: float) -> DataFrame:
+    """As with one block: the runs of all blocks are united before a document is judged and cut, and what closes up is
+    scanned again by all of them."""
+    columns, row, runs = docs.columns, f"row_{uuid.uuid4().hex}", f"runs_{uuid.uuid4().hex}"
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            found = [[(x["start"], x["end"]) for x in r] for r in part.column(runs).to_pylist()]
+            bodies = [b.encode() for b in part.column("text").to_pylist()]
+            new = [_cut(b, r, drop_share) for b, r in zip(bodies, found, strict=True)]
+            part = part.drop_columns([runs])
+            yield _replaced(part, new, pa.array([n is not None for n in new], pa.bool_()))
+
+    rest, done = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), []
+    while True:
+        bodies = texts(rest, F.col(row).alias("row"))
+        found = _merged([_scanned(bodies, b, window) for b in blocks]).filter("size(hits) > 0")
+        found = written(found.select(F.col("row").alias(row), F.col("hits").alias(runs)), "hits")
+        done.append(rest.join(found, row, "left_anti").select(columns))
+        if found.isEmpty():
+            break
+        hit = rest.join(found, row).select(*columns, row, runs)
+        rest = written(hit.mapInArrow(cut, hit.drop(runs).schema), "rows")
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out

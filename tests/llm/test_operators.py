@@ -166,6 +166,20 @@ def test_spans_are_cut_and_whole_documents_go(spark):
     assert decontam.decontaminated(docs, empty).count() == len(texts)
 
 
+def test_results_do_not_depend_on_blocks(spark, monkeypatch):
+    rng, words = random.Random(9), vocabulary(14)
+    items = [(i, " ".join(rng.choices(words, k=5))) for i in range(25)]
+    rows = spark.createDataFrame(items, "item_id long, text string")
+    texts = [(rng.choice([1, 2, None, 50 + i]), " ".join(rng.choices(words, k=8) + items[i % 25][1].split()[: rng.randint(3, 5)]
+             + rng.choices(words, k=9) + items[(7 * i) % 25][1].split())) for i in range(60)] + [(3, None), (3, "")]
+    seen = []
+    for block in (1 << 24, 1000):
+        monkeypatch.setattr(decontam, "BLOCK_BYTES", block)
+        found, out = decontam.hits(table(spark, texts), rows, window=4), decontam.decontaminated(table(spark, texts), rows, window=4)
+        seen.append([sorted(map(str, found.collect())), sorted(map(str, out.collect()))])
+    assert seen[0] == seen[1] and len(seen[0][0]) == len(texts)
+
+
 # Line dedup --------------------------------------------------------------------------------------------------------
 
 
