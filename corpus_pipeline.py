@@ -40,8 +40,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and the ids of each document as little-endian unsigned 32-bit integers."""
-    return bpe.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"), decode=False)
+    """doc_id, n_tokens, the ids of each document as little-endian unsigned 32-bit integers, and the text decoded from them."""
+    return bpe.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import corpus_pipeline
+import public_tokenizers
+from tokenizers import Tokenizer
+
 from chaffsieve.llm import boosted_rules, decontam
 from tests.conftest import SMALL
 from tests.llm.test_operators import brute_groups, brute_hits, brute_lines
@@ -41,5 +44,12 @@ def test_stages(spark, tmp_path):
     assert set(after) == set(before)
 
 
+def test_last_stage_decodes(spark):
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    docs = spark.createDataFrame([(1, "Two words, twice."), (2, "é x\ny")], "doc_id long, text string")
+    want = {r.doc_id: library.decode(library.encode(r.text).ids, skip_special_tokens=False) for r in docs.collect()}
+    assert {r.doc_id: r.decoded for r in corpus_pipeline.encode(spark, docs, SMALL).collect()} == want
+
+
 def test_run_equals_the_stages(spark):
     assert corpus_pipeline.run(spark, SMALL).count() > 100
