@@ -303,9 +303,8 @@ def frequent_words(docs: DataFrame, bpe: Bpe, most: int = LEXICON_WORDS) -> list
         def flush() -> pa.RecordBatch:
             words: Counter = Counter()
             for piece, n in tally.items():
-                if n > 1:
-                    for w in sent.value.words(piece):
-                        words[w] += n
+                for w in sent.value.words(piece):
+                    words[w] += n
             tally.clear()
             return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
 

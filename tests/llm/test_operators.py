@@ -401,6 +401,11 @@ def test_bpe_equals_the_library(spark, tokenizer):
     assert bpe.round_trip(table(spark, []).limit(0), queries._tokenizer()).count() == 0
 
 
+def test_words_that_stand_once_in_each_partition_count(spark):
+    docs = table(spark, ["often one", "often two", "often three"]).repartition(3)
+    assert bpe.frequent_words(docs, bpe._bpe(open(queries._tokenizer(), encoding="utf-8").read()), 1)[0].startswith("often")
+
+
 def test_lexicon_is_minimal_and_exact():
     words = [b"tap", b"taps", b"top", b"tops", b"stop", b"stops", b"\xc3\xa9"]
     lexicon = bpe.Lexicon(bpe.Lexicon.compiled({w: [i, i + 1] for i, w in enumerate(words)}))
