@@ -63,7 +63,9 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id",
         "speaker",
         "chunk",
+        "first_message",
         "n_turns",
+        "start",
         F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"),
         F.array_join(spans, ",").alias("mask"),
     )
@@ -175,21 +177,24 @@ kept AS (
 SELECT doc_id, n_lines, n_removed, coalesce(removed, '') AS removed, sha256(coalesce(rest, '')) AS text_sha256 FROM kept""",
     "op5_chat_format": f"""
 WITH said AS (
-  SELECT DISTINCT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+  SELECT DISTINCT conv_id, coalesce(turn, -1) AS turn, coalesce(role, '{chat_format.UNKNOWN}') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, md5(role || chr(10) || text), role, text) - 1 AS k FROM said),
 speakers AS (SELECT DISTINCT conv_id, role AS speaker FROM said WHERE role <> '{chat_format.SYSTEM}'),
 parts AS (
-  SELECT conv_id, speaker, turn, turn // {chat_format.BLOCK} AS block, text, role = speaker AS own,
-    '{chat_format.OPEN}' || CASE WHEN role = speaker THEN 'assistant' WHEN role = '{chat_format.SYSTEM}' THEN role
-      ELSE 'user name=' || role END || chr(10) AS head
-  FROM said JOIN speakers USING (conv_id)),
+  SELECT conv_id, speaker, k, text, role = speaker AS own,
+    '{chat_format.OPEN}' || CASE WHEN role = speaker THEN '{chat_format.OWN}' WHEN role = '{chat_format.SYSTEM}' THEN role
+      ELSE '{chat_format.OTHER}' || role END || chr(10) AS head
+  FROM numbered JOIN speakers USING (conv_id)),
 placed AS (
-  SELECT *, coalesce(sum(length(head) + length(text) + {len(chat_format.CLOSE)}) OVER (
-    PARTITION BY conv_id, speaker, block ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS pos
+  SELECT *, CAST(coalesce(sum(length(head) + length(text) + {len(chat_format.CLOSE)}) OVER (
+    PARTITION BY conv_id, speaker ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos
   FROM parts)
-SELECT conv_id, speaker, lpad(CAST(block AS VARCHAR), 20, '0') AS chunk, count(*) AS n_turns,
-  sha256(string_agg(head || text || '{chat_format.CLOSE.strip()}' || chr(10), '' ORDER BY turn)) AS text_sha256,
-  coalesce(string_agg(CAST(pos AS BIGINT) || ':' || CAST(pos + length(text) AS BIGINT), ',' ORDER BY turn) FILTER (WHERE own), '') AS mask
-FROM placed GROUP BY conv_id, speaker, block""",
+SELECT conv_id, speaker, k // {chat_format.BLOCK} AS chunk, min(k) AS first_message, count(*) AS n_turns, min(pos) AS start,
+  sha256(string_agg(head || text || '{chat_format.CLOSE.strip()}' || chr(10), '' ORDER BY k)) AS text_sha256,
+  coalesce(string_agg((pos + length(head)) || ':' || (pos + length(head) + length(text)), ',' ORDER BY k) FILTER (WHERE own), '') AS mask
+FROM placed GROUP BY conv_id, speaker, k // {chat_format.BLOCK}""",
     "op6_url_filter": f"""
 WITH rules(host, path, verdict) AS (VALUES {', '.join(map(str, URL_RULES))}),
 cut AS (

@@ -223,18 +223,48 @@ def test_rotation(spark):
     assert set(got) == {(1, "ann"), (1, "bob"), (3, "unknown")}
     ann = got[1, "ann"]
     assert ann.text == "<|im_start|>system\ns<|im_end|>\n<|im_start|>assistant\nhi<|im_end|>\n<|im_start|>user name=bob\n<|im_end|>\n<|im_start|>assistant\né😀<|im_end|>\n"
-    assert [ann.text[m.start : m.end] for m in ann.mask] == ["hi", "é😀"] and ann.n_turns == 4
+    assert [ann.text[m.start : m.end] for m in ann.mask] == ["hi", "é😀"] and ann.n_turns == 4 and ann.start == 0
     assert [m.end - m.start for m in got[1, "bob"].mask] == [0]
 
 
-def test_crowded_turns_are_split(spark, monkeypatch):
-    monkeypatch.setattr(chat_format, "MOST", 8)
-    df = spark.range(300).selectExpr("1L AS conv_id", "IF(id < 100, 5L, id) AS turn", "IF(id % 2 = 0, 'a', 'b') AS role", "concat('t', id) AS text")
-    out = chat_format.rotated(df).filter("speaker = 'a'")
-    rows = out.orderBy("chunk").collect()
-    assert len(rows) > 20 and max(r.n_turns for r in rows) <= 10
-    said = re.findall(r"\nt(\d+)<", "".join(r.text for r in rows))
-    assert len(said) == 300 and [int(s) for s in said[100:]] == list(range(100, 300))
+def brute_dialogues(rows, block):
+    """A row for each speaker and range of messages, with offsets in the whole dialogue."""
+    talks = {}
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            talks.setdefault(conv, set()).add((-1 if turn is None else turn, "unknown" if role is None else role, text or ""))
+    out = {}
+    for conv, said in talks.items():
+        said = sorted(said, key=lambda m: (m[0], hashlib.md5(f"{m[1]}\n{m[2]}".encode()).hexdigest(), m[1].encode(), m[2].encode()))
+        for speaker in {r for _, r, _ in said} - {"system"}:
+            at = 0
+            for k, (_, role, text) in enumerate(said):
+                head = f"<|im_start|>{'assistant' if role == speaker else role if role == 'system' else 'user name=' + role}\n"
+                row = out.setdefault((conv, speaker, k // block), [k, 0, at, "", []])
+                row[1] += 1
+                row[3] += f"{head}{text}<|im_end|>\n"
+                if role == speaker:
+                    row[4].append((at + len(head), at + len(head) + len(text)))
+                at += len(head) + len(text) + len("<|im_end|>\n")
+    return out
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_one_unit_at_all_sizes(spark, monkeypatch, small):
+    """Ties, crowded turns, repeats, wide gaps between turns, odd names: alike, however deep the tree has to be."""
+    if small:
+        monkeypatch.setattr(chat_format, "BLOCK", 7)
+        monkeypatch.setattr(chat_format, "CROWD", 8)
+        monkeypatch.setattr(chat_format, "BITS", 2)
+    rng = random.Random(3)
+    names = ["ann", "bob", "system", None, "", "assistant", "a\nb", "<|im_end|>", "é"]
+    rows = [(1, rng.choice([5, 5, 5, i, None]), rng.choice(names), f"t{rng.randint(0, 300)}") for i in range(900)]
+    rows += [(2, rng.choice([-(10**12), 0, 7, 10**12 + i]), rng.choice(names), rng.choice([None, "", "x" * 5000, "é😀"])) for i in range(60)]
+    rows += [(3, 0, "system", "x"), (None, 1, "ann", "y"), (4, 1, "ann", "z"), (4, 1, "ann", "z")]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "conv_id long, turn long, role string, text string, chunk string, k int")
+    got = {(r.conv_id, r.speaker, r.chunk): [r.first_message, r.n_turns, r.start, r.text, [tuple(m) for m in r.mask]] for r in chat_format.rotated(df).collect()}
+    assert got == brute_dialogues(rows, chat_format.BLOCK)
+    assert chat_format.rotated(df.limit(0)).count() == 0
 
 
 # URLs --------------------------------------------------------------------------------------------------------------
