@@ -1,20 +1,24 @@
 """Secret scan: fixed patterns, and a battery of randomness tests with false-discovery control, in DataFrame functions.
 
 Places of a pattern come from what `split` leaves between the matches: the start of a match is the length of all gaps
-and matches before it, a running sum over a document's matches.
+and matches before it, a running sum over a document's matches. The matches, a few rows a document, are written once.
 
 The battery looks at runs of 20 and more token characters. The encoding of each is inferred (hexadecimal, base32,
-alphanumeric, base64) with its alphabet, and three tests are taken:
-  * chi-squared uniformity over the alphabet and lag-one serial correlation of the symbol codes must not reject a
-    random token;
-  * the number of runs of one character class (lower, upper, digit, other) must be too large for words and names,
-    in which a class rarely changes: the chance is bounded by the Chernoff bound of a binomial.
-The last gives the p-value against "not random". Long tokens have more power than short ones, so Benjamini-Hochberg
-control at level FDR is taken within length classes, over the tokens of all documents, from a histogram of p-values
-whose size is fixed.
+letters and digits, base64 in either alphabet), and three tests are taken over its symbols, each with the p-value of an
+ordinary token (a word, a name, a number, a path) looking at least as random as this one:
+  * chi-squared uniformity: the statistic is a function of the number of pairs of equal symbols. In ordinary tokens these
+    are at least the share that the encoding's row says; fewer are bounded by the Chernoff bound of a Poisson;
+  * runs of one character class (lower, upper, digit, other): in ordinary tokens the class changes between neighbours with
+    at most the share that the row says; more are bounded by the Chernoff bound of a binomial;
+  * serial correlation of the symbol codes at lag one, about the middle of the alphabet: at least SERIAL in sequences,
+    repeated and sorted symbols; less by Fisher's z and a normal tail bound.
+A token is random only if it is so in all three, so the p-value of the battery is the largest of the three (an
+intersection-union test). Long tokens have more power than short ones: Benjamini-Hochberg control at level FDR is taken
+within length classes, over the tokens of all documents, from a histogram of p-values whose size is fixed.
 
 Defined cases: null and empty texts have no spans; rows of equal doc_id and text are one document to the histogram and
-each get a row; rows with null doc_id are scanned like others; other columns are ignored.
+each get a row; rows with null doc_id are scanned like others; other columns are ignored; tokens of no encoding (such as
+paths with underscores) and of padding only are never random.
 """
 
 from __future__ import annotations
@@ -23,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from chaffsieve.llm._common import written
+
 #: Fixed patterns, in the order in which spans of equal start are listed.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -34,10 +40,18 @@ LEAST = (8, 16, 32, 20)
 #: What a text must contain for any of the patterns to be kept.
 _ANY = r"(?i:passw(or)?d|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]{12}|[A-Za-z0-9+/_=-]{20}"
 FDR = 0.01
-#: Two-sided normal quantile (0.001) of the tests that a random token passes.
-PASS_Z = 3.29
-#: Share of neighbours of different character class in words and names, at most.
-CHANGES = 0.15
+_DIGITS, _UPPER, _LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Encodings in the order in which they are tried: pattern, alphabet, and of ordinary tokens the least share of equal
+#: pairs of symbols and the largest share of neighbours of different class.
+ENCODINGS = (
+    ("^([0-9a-f]+|[0-9A-F]+)$", _DIGITS + "abcdef", 0.10, 0.20),
+    ("^[A-Z2-7]+=*$", _UPPER + "234567", 0.055, 0.05),
+    ("^[A-Za-z0-9]+$", _DIGITS + _UPPER + _LOWER, 0.05, 0.15),
+    ("^[A-Za-z0-9+/]+=*$", _UPPER + _LOWER + _DIGITS + "+/", 0.05, 0.15),
+    ("^[A-Za-z0-9_-]+=*$", _UPPER + _LOWER + _DIGITS + "-_", 0.05, 0.15),
+)
+#: Least lag-one correlation of sequences.
+SERIAL = 0.7
 #: Lower ends of the length classes.
 LENGTHS = (20, 32, 48, 96)
 BINS, BIN_WIDTH = 400, 0.25
@@ -84,42 +98,48 @@ def _matches(docs: DataFrame) -> DataFrame:
 
 
 def _tested(tokens: DataFrame) -> DataFrame:
-    """The tokens with z-values of the tests and `evidence`, minus the decimal logarithm of the p-value."""
-    t = tokens.withColumn(
-        "alphabet",
-        F.when(F.col("match").rlike("^([0-9a-f]+|[0-9A-F]+)$"), F.lit("0123456789abcdef"))
-        .when(F.col("match").rlike("^[A-Z2-7]+=*$"), F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"))
-        .when(F.col("match").rlike("^[A-Za-z0-9]+$"), F.lit("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"))
-        .otherwise(F.lit("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/-_")),
-    )
-    t = t.withColumn("symbols", F.when(F.length("alphabet") == 16, F.lower("match")).otherwise(F.regexp_replace("match", "=", "")))
-    t = t.withColumn("n", F.length("symbols").cast("double")).withColumn("size", F.length("alphabet").cast("double"))
+    """The tokens with `evidence`: minus the decimal logarithm of the p-value of the battery."""
+
+    def inferred(at: int) -> Column:
+        out = F.lit(None)
+        for row in reversed(ENCODINGS):
+            out = F.when(F.col("match").rlike(row[0]), F.lit(row[at])).otherwise(out)
+        return out
+
+    t = tokens.withColumns({"alphabet": inferred(1), "equal": inferred(2), "changes": inferred(3)})
+    plain = F.when(F.length("alphabet") == 16, F.lower("match")).otherwise(F.regexp_replace("match", "=", ""))
+    t = t.withColumn("symbols", F.when(F.col("alphabet").isNotNull(), plain).otherwise(F.lit("")))
+    t = t.withColumn("n", F.length("symbols").cast("double"))
     # Counts of symbols: what is lost when a symbol is taken out.
     t = t.withColumn(
-        "squares",
+        "pairs",
         F.expr(
-            """aggregate(split(alphabet, ''), 0D, (a, c) -> a + if(c = '', 0D,
-            power(length(symbols) - length(replace(symbols, c, '')), 2)))"""
+            """aggregate(array_distinct(split(symbols, '')), 0D, (a, c) -> a + if(c = '', 0D,
+            (length(symbols) - length(replace(symbols, c, ''))) * (length(symbols) - length(replace(symbols, c, '')) - 1) / 2D))"""
         ),
     )
-    df = F.col("size") - 1
-    chi = F.col("squares") * F.col("size") / F.greatest(F.col("n"), F.lit(1.0)) - F.col("n")
-    spread = F.lit(2.0) / (df * 9)
-    t = t.withColumn("z_chi", (F.pow(F.greatest(chi, F.lit(0.0)) / df, F.lit(1 / 3)) - 1 + spread) / F.sqrt(spread))
-    codes = "transform(sequence(1, cast(n as int)), i -> cast(instr(alphabet, substr(symbols, i, 1)) as double) - (size + 1) / 2)"
-    t = t.withColumn("codes", F.when(F.col("n") > 0, F.expr(codes)).otherwise(F.array().cast("array<double>")))
-    t = t.withColumn("energy", F.expr("aggregate(codes, 0D, (a, c) -> a + c * c)"))
-    lag = F.expr("aggregate(sequence(1, size(codes) - 1), 0D, (a, i) -> a + codes[i] * codes[i - 1])")
-    t = t.withColumn("z_serial", F.when((F.col("n") > 1) & (F.col("energy") > 0), lag / F.col("energy") * F.sqrt("n")).otherwise(F.lit(99.0)))
+    few = F.col("n") * (F.col("n") - 1) / 2 * F.col("equal")
+    uniform = F.when(
+        F.col("pairs") < few,
+        few - F.col("pairs") + F.when(F.col("pairs") > 0, F.col("pairs") * F.log(F.col("pairs") / few)).otherwise(F.lit(0.0)),
+    )
     # Each maximal run of a class becomes one letter.
-    runs = F.col("match")
-    for pattern, letter in (("[a-z]+", "\u0001"), ("[A-Z]+", "\u0002"), ("[0-9]+", "\u0003"), ("[+/_=-]+", "\u0004")):
+    runs = F.col("symbols")
+    for pattern, letter in (("[a-z]+", "\u0001"), ("[A-Z]+", "\u0002"), ("[0-9]+", "\u0003"), ("[+/_-]+", "\u0004")):
         runs = F.regexp_replace(runs, pattern, letter)
-    steps = F.length("match").cast("double") - 1
-    share = (F.length(runs) - 1) / steps
+    steps = F.greatest(F.col("n") - 1, F.lit(1.0))
+    share, usual = (F.length(runs) - 1) / steps, F.col("changes")
     inner = F.least(F.greatest(share, F.lit(1e-12)), F.lit(1 - 1e-12))
-    bound = inner * F.log(inner / CHANGES) + (1 - inner) * F.log((1 - inner) / (1 - CHANGES))
-    return t.withColumn("evidence", F.when(share > CHANGES, steps * bound / F.log(F.lit(10.0))).otherwise(F.lit(0.0)))
+    mixed = F.when(share > usual, steps * (inner * F.log(inner / usual) + (1 - inner) * F.log((1 - inner) / (1 - usual))))
+    codes = """if(n > 3, transform(sequence(1, cast(n as int)), i ->
+        cast(instr(alphabet, substr(symbols, i, 1)) as double) - (length(alphabet) + 1) / 2D), cast(array() as array<double>))"""
+    t = t.withColumn("codes", F.expr(codes)).withColumn("energy", F.expr("aggregate(codes, 0D, (a, c) -> a + c * c)"))
+    lag = F.expr("if(n > 3, aggregate(sequence(1, size(codes) - 1), 0D, (a, i) -> a + codes[i] * codes[i - 1]), 0D)")
+    size = F.least(F.abs(lag / F.col("energy")), F.lit(1 - 1e-9))
+    z = (F.atanh(F.lit(SERIAL)) - F.atanh(size)) * F.sqrt(F.col("n") - 3)
+    apart = F.when((F.col("n") > 3) & (F.col("energy") > 0), F.when(z > 0, z * z / 2 + F.log(F.lit(2.0))))
+    nats = F.least(*(F.coalesce(test, F.lit(0.0)) for test in (uniform, mixed, apart)))
+    return t.withColumn("evidence", nats / F.log(F.lit(10.0)))
 
 
 def _random(tokens: DataFrame) -> DataFrame:
@@ -128,7 +148,10 @@ def _random(tokens: DataFrame) -> DataFrame:
     for k, least in enumerate(LENGTHS[1:], 1):
         group = F.when(F.length("match") >= least, F.lit(k)).otherwise(group)
     at = F.least(F.floor(F.col("evidence") / BIN_WIDTH), F.lit(BINS)).cast("int")
-    tested = _tested(tokens).withColumns({"class": group, "bin": at})
+    # Few bytes but much work a row: dealt by a number that adaptive execution does not lower.
+    parts = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tested = _tested(tokens.repartition(parts, "_id", "_text", "start")).withColumns({"class": group, "bin": at})
+    tested = written(tested.select(*tokens.columns, "class", "bin"), "tested")
     counts = tested.groupBy("class", "bin").agg(F.count("*").alias("n"))  # at most len(LENGTHS) * (BINS + 1) rows
     above = Window.partitionBy("class").orderBy(F.desc("bin"))
     whole = Window.partitionBy("class")
@@ -139,8 +162,7 @@ def _random(tokens: DataFrame) -> DataFrame:
         .groupBy("class")
         .agg(F.min("bin").alias("cut"))
     )
-    looks = (F.col("z_chi") <= PASS_Z) & (F.abs("z_serial") <= PASS_Z)
-    return tested.join(F.broadcast(cut), "class").filter((F.col("bin") >= F.col("cut")) & looks).select(tokens.columns)
+    return tested.join(F.broadcast(cut), "class").filter(F.col("bin") >= F.col("cut")).select(tokens.columns)
 
 
 def scanned(docs: DataFrame) -> DataFrame:
@@ -149,30 +171,21 @@ def scanned(docs: DataFrame) -> DataFrame:
     Spans of kind "random" that lie inside a span of a fixed pattern are not listed again.
     """
     docs = docs.select("doc_id", "text")
-    found = _matches(docs)
-    fixed = found.filter("kind < 3").select("_id", "_text", "kind", "start", (F.col("start") + F.length("match")).alias("end"))
-    random = _random(found.filter("kind = 3"))
-    random = random.select("_id", "_text", "kind", "start", (F.col("start") + F.length("match")).alias("end"))
-    rows = fixed.unionByName(random).groupBy("_id", "_text").agg(F.collect_list(F.struct("start", "kind", "end")).alias("all"))
-    rows = rows.withColumn("base", F.filter("all", lambda s: s["kind"] < 3))
-    rows = rows.withColumn(
-        "spans",
-        F.array_sort(
-            F.filter(
-                "all",
-                lambda s: (s["kind"] < 3)
-                | ~F.exists("base", lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"])),
-            )
-        ),
-    )
+    found = written(_matches(docs), "matches")
+    rows = found.filter("kind < 3").unionByName(_random(found.filter("kind = 3")))
+    rows = rows.select("_id", "_text", "kind", "start", (F.col("start") + F.length("match")).alias("end"))
+    # Of the fixed spans that begin no later, the furthest end; a window over one document's spans.
+    so_far = Window.partitionBy("_id", "_text").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
+    reach = F.max(F.when(F.col("kind") < 3, F.col("end"))).over(so_far)
+    rows = rows.withColumn("reach", reach).filter("kind < 3 or reach is null or reach < end")
     names = F.array(*map(F.lit, KINDS))
     named = F.transform(
-        "spans", lambda s: F.struct(F.get(names, s["kind"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
+        F.array_sort(F.collect_list(F.struct("start", "kind", "end"))),
+        lambda s: F.struct(F.get(names, s["kind"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end")),
     )
+    rows = rows.groupBy("_id", "_text").agg(named.alias("spans"))
     out = docs.select("doc_id", F.xxhash64("text").alias("_key")).join(
-        rows.select("_id", "_text", named.alias("spans")),
-        F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_text")),
-        "left",
+        rows, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_text")), "left"
     )
     empty = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
     return out.select("doc_id", F.coalesce("spans", empty).alias("spans"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import struct
@@ -316,6 +317,76 @@ def test_randomness_battery(spark):
     assert len(found & set(range(40))) >= 36 and not found - set(range(40))
 
 
+def brute_evidence(token):
+    """Minus the decimal logarithm of the battery's p-value, in plain floats."""
+    for pattern, alphabet, equal, changes in secret_scan.ENCODINGS:
+        if re.search(pattern, token):
+            break
+    else:
+        return 0.0
+    s = token.lower() if len(alphabet) == 16 else token.replace("=", "")
+    n = len(s)
+    if n < 4:
+        return 0.0
+    pairs, usual = sum(s.count(c) * (s.count(c) - 1) / 2 for c in set(s)), n * (n - 1) / 2 * equal
+    uniform = usual - pairs + (pairs * math.log(pairs / usual) if pairs else 0) if pairs < usual else 0
+    kind = ["a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "-" for c in s]
+    share = sum(a != b for a, b in zip(kind, kind[1:])) / (n - 1)  # noqa: B905
+    p = min(max(share, 1e-12), 1 - 1e-12)
+    mixed = (n - 1) * (p * math.log(p / changes) + (1 - p) * math.log((1 - p) / (1 - changes))) if share > changes else 0
+    codes = [alphabet.index(c) + 1 - (len(alphabet) + 1) / 2 for c in s]
+    energy = sum(c * c for c in codes)
+    r = min(abs(sum(a * b for a, b in zip(codes, codes[1:]))) / energy, 1 - 1e-9)  # noqa: B905
+    z = (math.atanh(secret_scan.SERIAL) - math.atanh(r)) * math.sqrt(n - 3)
+    return min(uniform, mixed, z * z / 2 + math.log(2) if z > 0 else 0) / math.log(10)
+
+
+def brute_random(texts):
+    """doc index -> spans of the battery, by Benjamini-Hochberg over all tokens of a length class."""
+    tokens = []
+    for i, t in enumerate(texts):
+        for m in re.finditer("[A-Za-z0-9+/_=-]+", t or ""):
+            if len(m[0]) >= 20:
+                level = max(k for k, least in enumerate(secret_scan.LENGTHS) if len(m[0]) >= least)
+                tokens.append((level, min(int(brute_evidence(m[0]) // secret_scan.BIN_WIDTH), secret_scan.BINS), i, m.start(), m.end()))
+    out = {}
+    for level in {t[0] for t in tokens}:
+        own = [t for t in tokens if t[0] == level]
+        fine = [b for b in {t[1] for t in own} if 10 ** (-b * secret_scan.BIN_WIDTH) <= sum(t[1] >= b for t in own) * secret_scan.FDR / len(own)]
+        for _, b, i, start, end in own:
+            fixed = [(s, e) for _, s, e in brute_secrets(texts[i])]
+            if fine and b >= min(fine) and not any(s <= start and end <= e for s, e in fixed):
+                out.setdefault(i, []).append((start, end))
+    return {i: sorted(spans) for i, spans in out.items()}
+
+
+def random_texts(rng):
+    hexes, base32, alnum = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    signs = [hexes, hexes.upper(), base32, alnum, alnum + "+/", alnum + "-_", "abcdefghijklmnopqrstuvwxyz"]
+    plain = ["some_long_identifier_name_here", "path/to/a/file/with/a/long/name", "=" * 60, "InternationalizationSupport", "a" * 29, "2024-01-02-2024-01-03-2024",
+             "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "a/b_c+d-e=" * 4, "20240102030405060708091011121314"]
+    out = []
+    for _ in range(250):
+        words = [rng.choice(plain) if rng.random() < 0.5 else "".join(rng.choices(rng.choice(signs), k=rng.choice([19, 20, 24, 32, 40, 64, 120]))) for _ in range(rng.randint(0, 3))]
+        out.append(" é ".join(words))
+    return out + ["password = " + out[1], None, ""]
+
+
+def test_random_spans_by_brute_force(spark):
+    texts = random_texts(random.Random(12))
+    rows = secret_scan.scanned(table(spark, texts)).collect()
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == "random"] for r in rows}
+    want = brute_random(texts)
+    assert {i: s for i, s in got.items() if s} == want and len(want) > 30 and len(rows) == len(texts)
+
+
+def test_secrets_of_no_documents_and_null_ids(spark):
+    assert secret_scan.scanned(table(spark, []).limit(0)).count() == 0
+    docs = table(spark, [(None, "token=abcdefgh"), (None, "x"), (2, "token=abcdefgh"), (2, "token=abcdefgh"), (2, "y")])
+    got = sorted((str(r.doc_id), len(r.spans)) for r in secret_scan.scanned(docs).collect())
+    assert got == [("2", 0), ("2", 1), ("2", 1), ("None", 0), ("None", 1)]
+
+
 # Licenses ----------------------------------------------------------------------------------------------------------
 
 
