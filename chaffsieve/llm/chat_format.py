@@ -57,21 +57,21 @@ def _levels(low: int, high: int) -> list[int]:
 def _before(nodes: DataFrame, group: list[str], keys: list[list[Column]], value: str) -> DataFrame:
     """The nodes with `before`: the sum of `value` over the nodes of their group that stand before them.
 
-    keys: for every level, from the leaves up, the columns that order and identify its nodes. A window sees the children
-    of one node; what stands before it on its own level comes from the level above."""
-    out, spent = nodes, []
-    for at, own in enumerate(keys):
-        names = [f"_k{at}_{i}" for i in range(len(own))]
-        above = keys[at + 1] if at + 1 < len(keys) else []
-        up = [f"_u{at}_{i}" for i in range(len(above))]
-        summed = nodes.select(*group, *[c.alias(n) for c, n in zip(own, names, strict=True)], *[c.alias(n) for c, n in zip(above, up, strict=True)], value)
-        summed = summed.groupBy(*group, *names, *up).agg(F.sum(value).alias("_n"))
-        window = Window.partitionBy(*group, *up).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
-        known = summed.select(*group, *names, F.coalesce(F.sum("_n").over(window), F.lit(0)).cast("long").alias(f"_b{at}"))
-        out = out.withColumns(dict(zip(names, own, strict=True))).join(known, [*group, *names])
-        spent += [*names, f"_b{at}"]
+    keys: for every level, from the leaves up, the columns that order and identify its nodes; each of `nodes` is a leaf. A
+    window sees the children of one node; what stands before that node comes from the levels above."""
+    names = [[f"_k{at}_{i}" for i in range(len(own))] for at, own in enumerate(keys)]
+    out = nodes.withColumns({n: c for own, level in zip(keys, names, strict=True) for n, c in zip(level, own, strict=True)})
+    for at, own in enumerate(names):
+        up = names[at + 1] if at + 1 < len(names) else []
+        window = Window.partitionBy(*group, *up).orderBy(*own).rowsBetween(Window.unboundedPreceding, -1)
+        so_far = F.coalesce(F.sum(value).over(window), F.lit(0)).cast("long").alias(f"_b{at}")
+        if at == 0:
+            out = out.select("*", so_far)
+        else:
+            summed = out.groupBy(*group, *own, *up).agg(F.sum(value).alias(value))
+            out = out.join(summed.select(*group, *own, so_far), [*group, *own])
     total = sum((F.col(f"_b{at}") for at in range(1, len(keys))), F.col("_b0"))
-    return out.withColumn("before", total).drop(*spent)
+    return out.select(*nodes.columns, total.alias("before"))
 
 
 def numbered(said: DataFrame) -> DataFrame:
@@ -98,12 +98,13 @@ def rotated(conversations: DataFrame) -> DataFrame:
     """conv_id, speaker, chunk (number of the range), first_message (its first message's number), n_turns (messages),
     start (offset of its text in the dialogue), text, mask (array of start and end, end exclusive, offsets in the
     dialogue). Lengths are code points."""
-    messages = written(numbered(_said(conversations)), "messages")
+    messages = written(numbered(written(_said(conversations), "said")), "messages")
     chunks = (
         messages.groupBy("conv_id", F.floor(F.col("k") / BLOCK).alias("chunk"))
         .agg(F.array_sort(F.collect_list(F.struct("k", "role", "text"))).alias("messages"))
     )
-    speakers = messages.filter(F.col("role") != SYSTEM).select("conv_id", F.col("role").alias("speaker")).distinct()
+    sizes = written(_sizes(messages), "sizes")
+    speakers = sizes.filter(F.col("speaker") != SYSTEM).select("conv_id", "speaker").distinct()
     rendered = F.transform(
         "messages",
         lambda m: F.struct(
@@ -126,7 +127,7 @@ def rotated(conversations: DataFrame) -> DataFrame:
               'start', a.at + length(p.head), 'end', a.at + length(p.head) + length(p.text)))), a.own)),
           a -> a.own)"""
     )
-    rows = chunks.join(speakers, "conv_id").join(_starts(messages, speakers), ["conv_id", "speaker", "chunk"], "left")
+    rows = chunks.join(speakers, "conv_id").join(_starts(sizes, speakers), ["conv_id", "speaker", "chunk"], "left")
     return (
         rows.withColumn("start", F.coalesce("start", F.lit(0)).cast("long"))
         .withColumn("parts", rendered)
@@ -143,26 +144,28 @@ def rotated(conversations: DataFrame) -> DataFrame:
     )
 
 
-def _starts(messages: DataFrame, speakers: DataFrame) -> DataFrame:
+def _sizes(messages: DataFrame) -> DataFrame:
+    """conv_id, chunk and speaker: the size of the speaker's messages in a range as others see them, and by how much it
+    differs in the speaker's own perspective."""
+    label = F.when(F.col("role") == SYSTEM, F.lit(len(SYSTEM))).otherwise(F.length("role") + len(OTHER))
+    return messages.groupBy("conv_id", F.floor(F.col("k") / BLOCK).alias("chunk"), F.col("role").alias("speaker")).agg(
+        F.sum((F.length("text") + label + len(OPEN) + 1 + len(CLOSE)).cast("long")).alias("size"),
+        F.sum((F.lit(len(OWN)) - label).cast("long")).alias("own"),
+    )
+
+
+def _starts(sizes: DataFrame, speakers: DataFrame) -> DataFrame:
     """conv_id, speaker, chunk and start for the ranges of conversations of more than one; a first range starts at 0.
 
     A message is as long for all perspectives but its speaker's own, so the lengths as others see them are summed once,
     and each speaker's own messages are what differs."""
-    longest = messages.agg(F.max("k")).first()[0] or 0
-    label = F.when(F.col("role") == SYSTEM, F.lit(len(SYSTEM))).otherwise(F.length("role") + len(OTHER))
-    sized = messages.select(
-        "conv_id",
-        F.floor(F.col("k") / BLOCK).alias("chunk"),
-        "role",
-        label.alias("label"),
-        (F.length("text") + label + len(OPEN) + 1 + len(CLOSE)).cast("long").alias("size"),
-    )
-    keys = [[F.shiftright("chunk", s)] for s in [0, *_levels(0, longest // BLOCK)]]
-    common = sized.groupBy("conv_id", "chunk").agg(F.sum("size").alias("n"))
+    keys = [[F.shiftright("chunk", s)] for s in [0, *_levels(0, sizes.agg(F.max("chunk")).first()[0] or 0)]]
+    common = sizes.groupBy("conv_id", "chunk").agg(F.sum("size").alias("n"))
     several = common.filter("chunk = 1").select("conv_id")
-    common = _before(common.join(several, "conv_id"), ["conv_id"], keys, "n").select("conv_id", "chunk", F.col("before").alias("start"))
-    own = sized.groupBy("conv_id", "chunk", F.col("role").alias("speaker")).agg(F.sum(F.lit(len(OWN)) - F.col("label")).alias("n"))
-    every = common.join(speakers, "conv_id").join(own, ["conv_id", "chunk", "speaker"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
+    common = _before(common.join(several, "conv_id"), ["conv_id"], keys, "n")
+    common = common.select("conv_id", "chunk", F.col("before").alias("start"))
+    own = sizes.select("conv_id", "speaker", "chunk", F.col("own").alias("n"))
+    every = common.join(speakers, "conv_id").join(own, ["conv_id", "speaker", "chunk"], "left").fillna(0, ["n"])
     return _before(every, ["conv_id", "speaker"], keys, "n").select(
         "conv_id", "speaker", "chunk", (F.col("start") + F.col("before")).alias("start")
     )
