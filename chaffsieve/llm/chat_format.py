@@ -60,7 +60,7 @@ def _before(nodes: DataFrame, group: list[str], keys: list[list[Column]], value:
     keys: for every level, from the leaves up, the columns that order and identify its nodes; each of `nodes` is a leaf. A
     window sees the children of one node; what stands before that node comes from the levels above."""
     names = [[f"_k{at}_{i}" for i in range(len(own))] for at, own in enumerate(keys)]
-    out = nodes.withColumns({n: c for own, level in zip(keys, names, strict=True) for n, c in zip(level, own, strict=True)})
+    keyed = out = nodes.withColumns({n: c for own, level in zip(keys, names, strict=True) for n, c in zip(level, own, strict=True)})
     for at, own in enumerate(names):
         up = names[at + 1] if at + 1 < len(names) else []
         window = Window.partitionBy(*group, *up).orderBy(*own).rowsBetween(Window.unboundedPreceding, -1)
@@ -68,7 +68,7 @@ def _before(nodes: DataFrame, group: list[str], keys: list[list[Column]], value:
         if at == 0:
             out = out.select("*", so_far)
         else:
-            summed = out.groupBy(*group, *own, *up).agg(F.sum(value).alias(value))
+            summed = keyed.groupBy(*group, *own, *up).agg(F.sum(value).alias(value))
             out = out.join(summed.select(*group, *own, so_far), [*group, *own])
     total = sum((F.col(f"_b{at}") for at in range(1, len(keys))), F.col("_b0"))
     return out.select(*nodes.columns, total.alias("before"))

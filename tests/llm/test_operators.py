@@ -256,7 +256,7 @@ def test_one_unit_at_all_sizes(spark, monkeypatch, small):
     if small:
         monkeypatch.setattr(chat_format, "BLOCK", 7)
         monkeypatch.setattr(chat_format, "CROWD", 8)
-        monkeypatch.setattr(chat_format, "BITS", 2)
+        monkeypatch.setattr(chat_format, "BITS", 4)
     rng = random.Random(3)
     names = ["ann", "bob", "system", None, "", "assistant", "a\nb", "<|im_end|>", "é"]
     rows = [(1, rng.choice([5, 5, 5, i, None]), rng.choice(names), f"t{rng.randint(0, 300)}") for i in range(900)]
