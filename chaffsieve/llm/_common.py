@@ -44,11 +44,23 @@ def workspace(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: writes `df` to the shared folder as Parquet and reads it back."""
+    """Cuts the lineage: writes `df` to the shared folder as Parquet and reads it back. The files go when the driver
+    ends; `forgotten` takes those of a table that nothing reads any more."""
     spark = df.sparkSession
     path = f"{workspace(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def forgotten(df: DataFrame) -> None:
+    """Deletes the files of a table that `written` returned."""
+    spark = df.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(df._scratch)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def texts(docs: DataFrame, *keep: str) -> DataFrame:

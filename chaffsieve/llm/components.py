@@ -5,28 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chaffsieve.llm._common import written
+from chaffsieve.llm._common import forgotten, written
 
 #: More passes than any graph of 2**60 vertices takes.
 MAX_PASSES = 64
 
 
-def _star(edges: DataFrame, small: bool) -> DataFrame:
-    """One pass over (u, v), u > v. Every vertex hands its neighbours to the smallest of them.
+def _least(edges: DataFrame) -> DataFrame:
+    """(u, m): the smallest of every vertex and its neighbours on either side of (u, v). Spark combines before the
+    shuffle, so a vertex with very many edges is never gathered."""
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    return both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
 
-    The minimum of a vertex comes from an aggregate that Spark combines before the shuffle, and the join back to the
-    edges is one that adaptive execution splits, so that a vertex with very many edges is never gathered.
-    """
-    both = edges if small else edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    moved = both.join(least, "u")
-    if small:
-        out = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-            least.select("u", F.col("m").alias("v"))
-        )
-    else:
-        out = moved.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return out.filter("u <> v").distinct()
+
+def _large_star(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Every vertex hands its larger neighbours to the smallest of all. `least` has been written, so that both sides of
+    the join are plain shuffles, of which adaptive execution splits the one of a vertex with very many edges."""
+    moved = edges.join(least.select(F.col("u").alias("v"), "m"), "v")
+    return moved.select("u", F.col("m").alias("v")).filter("u <> v").distinct()
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Every vertex hands itself and its smaller neighbours to the smallest of these."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    moved = edges.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -40,7 +43,11 @@ def components(edges: DataFrame) -> DataFrame:
     )
     seen = None
     for _ in range(MAX_PASSES):
-        state = written(_star(_star(state, small=False), small=True), "edges")
+        least = written(_least(state), "least")
+        after = written(_small_star(_large_star(state, least)), "edges")
+        forgotten(state)
+        forgotten(least)
+        state = after
         now = state.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen or not now[0]:
             break

@@ -11,13 +11,15 @@
    Links of very different sizes, or whose union-sketch estimate of the similarity is too low to matter, go.
 4. A list of which no link went has all its members in one neighbourhood. Where one went, two others may still be
    similar to each other and not to the smallest: all pairs of such a list are compared by their sketches, in tiles.
-5. What hangs together after that is a neighbourhood. Inside each neighbourhood the exact Jaccard similarity of the full sets decides, as matrix products of tiles of at
-   most TILE documents; a large neighbourhood is cut into pairs of tiles, so no task gets more than two tiles. Each
-   pair of tiles returns a spanning forest of its links, and the components of these are the groups.
+5. What hangs together after that is a neighbourhood. Inside each neighbourhood the exact Jaccard similarity of the full
+   sets decides, as matrix products of tiles of at most TILE documents; a large neighbourhood is cut into pairs of tiles,
+   so no task gets more than two tiles. Each pair of tiles returns a spanning forest of its links, and the components of
+   these are the groups.
 
 Defined cases: null, empty and blank texts have no shingles, link with nothing and are their own component. Texts with
-fewer words than a shingle are one shingle. Rows with equal doc_id count as one document with the larger set of
-values. Other columns are ignored. Rows with null doc_id are left out.
+fewer words than a shingle are one shingle. Every row gives a row. A doc_id with several different texts is one
+document with a row and a set for each of them: it is linked with whatever one of these is linked with (rows without
+shingles stand alone even so). Other columns are ignored. Rows with null doc_id are left out.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chaffsieve.llm._common import mix, rolling, shingle_hashes, slices, texts, word_hashes, written
+from chaffsieve.llm._common import forgotten, mix, rolling, shingle_hashes, slices, texts, word_hashes, written
 from chaffsieve.llm.components import components
 
 #: Retained values of a sketch.
@@ -222,6 +224,14 @@ def _verified(docs: DataFrame, known: DataFrame, near: DataFrame, size: int, thr
     return dealt.groupBy("area", "p", "q").applyInArrow(link, "a long, b long")
 
 
+def _several(known: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the smallest members of the classes that a doc_id with several texts is in."""
+    texts_of = known.filter("n > 0").groupBy("doc_id").agg(F.count_distinct("n", "sig_a", "sig_b").alias("m")).filter("m > 1")
+    own = known.select("doc_id", "n", "sig_a", "sig_b").join(texts_of.select("doc_id"), "doc_id")
+    own = own.withColumnRenamed("doc_id", "a").join(classes.withColumnRenamed("doc_id", "b"), ["n", "sig_a", "sig_b"])
+    return own.select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept. threshold: the least similarity
     as a ratio of whole numbers. Needs the columns doc_id and text."""
@@ -262,7 +272,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: tuple[int, int] =
     rest = open_lists.join(refused.distinct(), "area").select("area", "m", F.col("a").alias("doc_id"))
     links = judged.filter("near").select("a", "b").unionByName(_among(rest, known, threshold, least))
     near = written(components(links), "near")
-    exact = written(components(_verified(docs, known, near, size, threshold)), "exact")
+    exact = components(_verified(docs, known, near, size, threshold).unionByName(_several(known, classes)))
+    exact = written(exact, "exact")
+    for spent in (members, judged, near):
+        forgotten(spent)
     found = classes.join(exact.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
         "n", "sig_a", "sig_b", F.coalesce("component", "doc_id").alias("component_id")
     )

@@ -99,6 +99,22 @@ def test_short_texts_of_stock_phrases(spark, monkeypatch, tile):
     assert got == brute_groups(list(enumerate(texts)), 2)
 
 
+@pytest.mark.parametrize("words", [5, 6, 8])
+def test_small_vocabularies_lose_no_link(spark, words):
+    """Recall 1.0 where every list has many members that are like some and unlike others."""
+    rng = random.Random(words)
+    texts = [" ".join(rng.choices("abcdefgh"[:words], k=rng.choice([3, 5, 8, 8, 12, 20, 40]))) for _ in range(600)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(table(spark, texts), 2).collect()}
+    assert got == brute_groups(list(enumerate(texts)), 2)
+
+
+def test_documents_of_several_texts(spark):
+    rows = [(3, "a b c"), (3, "d e f"), (8, "d e f"), (9, "a b c"), (9, "x y z"), (9, ""), (20, "x y z"), (21, "p q"), (21, "p q")]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dup.near_duplicates(table(spark, rows), 2).collect())
+    assert got == [(3, 2, 3, True), (3, 2, 3, True), (8, 2, 3, False), (9, 0, 9, True), (9, 2, 3, False), (9, 2, 3, False),
+                   (20, 2, 3, False), (21, 1, 21, True), (21, 1, 21, True)]
+
+
 def test_large_group_is_cut_into_tiles(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "TILE", 7)
     rng, words = random.Random(3), vocabulary()
