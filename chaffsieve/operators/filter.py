@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -23,9 +24,15 @@ class Filtered:
     questions: DataFrame | None
 
 
-def run(sources: DataFrame, mode: str = "on", answers: DataFrame | None = None, thresholds: D.Thresholds = D.Thresholds()) -> Filtered:  # noqa: B008
+def run(
+    sources: DataFrame,
+    mode: str = "on",
+    answers: DataFrame | Callable[[DataFrame, DataFrame], DataFrame] | None = None,
+    thresholds: D.Thresholds = D.Thresholds(),  # noqa: B008
+) -> Filtered:
     """Mode off: local rules without page cleaners, no verdicts. Modes on and test: cleaners, then verdicts from the
-    recorded answers (request_id, global_key, type, noul, probabilities); without answers only the local chain.
+    recorded answers (request_id, global_key, type, noul, probabilities), or from those that a function of the tiles and
+    the questions gets; without answers only the local chain.
 
     A source whose request has no answer at all was not answered and is kept as it is."""
     if mode not in ("off", "on", "test"):
@@ -37,6 +44,8 @@ def run(sources: DataFrame, mode: str = "on", answers: DataFrame | None = None,
     rows = written(rows, "rules")
     tiles = written(classifier.tiled(classifier.candidates(marked, rows)), "tiles")
     asked = classifier.questions(tiles)
+    if callable(answers):
+        answers = answers(tiles, asked)
     got = classifier.answered(asked, answers)
     replied = answers.select("request_id").distinct().withColumn("status", F.lit("answered"))
     pages = classifier.page_answers(got).join(replied, "request_id", "left").withColumn("status", F.coalesce("status", F.lit("failed")))

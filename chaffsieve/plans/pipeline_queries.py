@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chaffsieve.functions import urls
 from chaffsieve.functions.text import PREFIX_KEYS
-from chaffsieve.operators import classifier, filter as whole, rollups, work_table
+from chaffsieve.operators import filter as whole, rollups, work_table
 from chaffsieve.plans import base as B
 from chaffsieve.plans.decision_queries import _answers
 from chaffsieve.plans.registry import query
@@ -16,10 +16,7 @@ from chaffsieve.plans.registry import query
 @query("s12_filter_on")
 def filter_on(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mode on with recorded answers: a row a snippet."""
-    sources = B.marked_sources(spark, sf_dir)
-    first = whole.run(sources, "on")
-    answers = _answers(classifier.tiled(classifier.candidates(first.sources.withColumn("verdict", F.lit("keep")), first.snippets)))
-    out = whole.run(sources, "on", answers).snippets
+    out = whole.run(B.marked_sources(spark, sf_dir), "on", lambda tiles, asked: _answers(tiles)).snippets
     return out.select("request_id", "source_index", "index", "part", "kept", "reason")
 
 

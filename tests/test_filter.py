@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -85,13 +86,15 @@ def test_final_cleanup_leaves_out_only_real_code(spark):
     assert out.count() == len(rows)
 
 
-def test_coverage_by_brute_force(spark):
+@pytest.mark.parametrize("many", [coverage.MANY, 10])
+def test_coverage_by_brute_force(spark, monkeypatch, many):
+    monkeypatch.setattr(coverage, "MANY", many)
     words = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta"]
     import random
 
     random.seed(5)
     texts = [" ".join(random.choices(words, k=random.randint(7, 14))) for _ in range(60)]
-    texts += [texts[0] + "s", "-" * 50, "-" * 60, texts[1] + " " + texts[2], texts[3]]
+    texts += [texts[0] + "s", texts[0] + "é " + texts[0], "(" + texts[4] + ")", texts[4] + "_", "x\\E " + texts[5], texts[5], "-" * 50, "-" * 60, texts[1] + " " + texts[2], texts[3]]
     df = spark.createDataFrame([(1, i % 2, i, t) for i, t in enumerate(texts)], "request_id int, source_index int, position int, text string")
     got = {r.position: r.covered_by for r in coverage.covered(df).collect()}
     import re
