@@ -1,16 +1,19 @@
 """License scan by diagonal voting.
 
 All rolling word k-grams of the documents are hashed and joined with the positions of those of the templates. A hit
-votes for the diagonal (position in the document minus position in the template); neighbouring diagonals are merged
-into one candidate, and its span is verified word by word against the template by their longest common subsequence.
+votes for the diagonal (position in the document minus position in the template). Neighbouring diagonals of a template
+are merged into one candidate as long as they drift by no more than a quarter of the template; a candidate needs votes of
+VOTED of the template's k-grams, and is verified word by word: the longest common subsequence of its place and the template
+must have COVERED of the template's words. Its span reaches from the first to the last word that voted.
 
 The template positions are broadcast only where there are at most BROADCAST_GRAMS of them; beyond that the join
 shuffles. Texts are read once for the hashes and once more for the span words, and only documents with a template gram
 carry their words to the verification.
 
 Defined cases: null, empty and wordless texts have no words and no labels; documents shorter than a k-gram can
-hold phrases only; repeated documents are told apart by their text; rows with null doc_id are scanned too; other columns
-are ignored; of equally long overlapping spans the one with the smaller start, then label, stays.
+hold phrases only; templates shorter than one are never found, and without any template only phrases are; repeated rows
+each get a row (documents are told apart by doc_id and text); rows with null doc_id are scanned too; other columns are
+ignored; of overlapping spans the one with the most words in common stays, then the one with the smaller start, then label.
 """
 
 from __future__ import annotations
@@ -21,34 +24,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from chaffsieve.llm._common import ALNUM, rolling, slices, texts, word_hashes
+from chaffsieve.llm.license_texts import TEMPLATES
 
 #: Consecutive words and the label that they give.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-#: License notices, by label.
-TEMPLATES = (
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
-            "documentation files the software to deal in the software without restriction"),
-    ("apache", "licensed under the apache license version 2 0"),
-    ("gpl", "this work is licensed under the gnu general public license version 3"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general "
-            "public license as published by the free software foundation"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by", "licensed under cc by 4 0"),
-    ("cc-by-sa", "licensed under cc by sa 4 0"),
-    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that "
-            "the following conditions are met"),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("proprietary", "all rights reserved no part of this publication may be reproduced"),
-)
 GRAM = 3
 #: Diagonals this near to their neighbour are one candidate.
 SLACK = 3
-#: Least share of a template's words that its span has in order.
+#: Most drift of merged diagonals, as a share of the template's words.
+DRIFT = 0.25
+#: Least share of a template's k-grams that vote for a candidate.
+VOTED = 0.3
+#: Least share of a template's words that its place has in order.
 COVERED = 0.8
 BROADCAST_GRAMS = 1 << 18
 
@@ -85,30 +74,32 @@ def template_positions(docs: DataFrame, templates: tuple, size: int) -> DataFram
     return docs.sparkSession.createDataFrame(rows, "gram long, template int, pos int")
 
 
-def candidates(docs: DataFrame, templates: tuple = TEMPLATES, size: int = GRAM) -> DataFrame:
-    """_id, _text, template, low, high (diagonals), votes: merged neighbouring diagonals."""
+def votes(docs: DataFrame, templates: tuple = TEMPLATES, size: int = GRAM) -> DataFrame:
+    """_id, _text, template, diagonal, votes, first and last (position of a voting k-gram)."""
     known = template_positions(docs, templates, size)
     if sum(len(words(t.encode())) for _, t in templates) <= BROADCAST_GRAMS:
         known = F.broadcast(known)
-    voted = (
+    return (
         _grams(docs, size)
         .select("_id", "_text", F.posexplode("grams").alias("at", "gram"))
         .join(known, "gram")
         .groupBy("_id", "_text", "template", (F.col("at") - F.col("pos")).alias("diagonal"))
-        .agg(F.count("*").alias("votes"))
-    )
-    # The diagonals of one template in one document: bounded by that document.
-    own = Window.partitionBy("_id", "_text", "template").orderBy("diagonal")
-    apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(own) > SLACK, F.lit(True)).cast("int")
-    return (
-        voted.withColumn("apart", apart)
-        .withColumn("group", F.sum("apart").over(own))
-        .groupBy("_id", "_text", "template", "group")
-        .agg(F.min("diagonal").alias("low"), F.max("diagonal").alias("high"), F.sum("votes").alias("votes"))
-        .drop("group")
+        .agg(F.count_distinct("at").alias("votes"), F.min("at").alias("first"), F.max("at").alias("last"))
     )
 
 
+def merged(voted: list, drift: int) -> list[tuple[int, int, int, int, int]]:
+    """(low, high, votes, first, last) of neighbouring diagonals, from (diagonal, votes, first, last) in order."""
+    out: list[tuple] = []
+    for diagonal, n, first, last in voted:
+        if out and diagonal - out[-1][1] <= SLACK and diagonal - out[-1][0] <= drift:
+            low, _, m, f, e = out[-1]
+            out[-1] = (low, diagonal, m + n, min(f, first), max(e, last))
+        else:
+            out.append((diagonal, diagonal, n, first, last))
+    return out
+
+
 def places(own: list[bytes], phrase: list[bytes]) -> list[int]:
     """Where the phrase's words stand consecutively."""
     out, n = [], len(phrase)
@@ -123,20 +114,44 @@ def places(own: list[bytes], phrase: list[bytes]) -> list[int]:
 
 
 def common(a: list[bytes], b: list[bytes]) -> int:
-    """Length of the longest common subsequence."""
-    row = [0] * (len(b) + 1)
+    """Length of the longest common subsequence: one bit for each word of b, zero where the length grows."""
+    where: dict[bytes, int] = {}
+    for j, y in enumerate(b):
+        where[y] = where.get(y, 0) | 1 << j
+    row = whole = (1 << len(b)) - 1
     for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            row[j], last = (last + 1 if x == y else max(row[j], row[j - 1])), row[j]
-    return row[-1]
+        both = row & where.get(x, 0)
+        row = ((row + both) | (row - both)) & whole
+    return len(b) - row.bit_count()
+
+
+def _spans(own: list[bytes], voted: list, wanted: list[tuple[str, list[bytes]]], size: int) -> list[dict]:
+    """The verified spans of a document of these words, from its votes (template, diagonal, votes, first, last)."""
+    found, by_template = [], {}
+    for t, *rest in sorted(voted):
+        by_template.setdefault(t, []).append(rest)
+    for t, diagonals in by_template.items():
+        label, text = wanted[t]
+        for low, high, n, first, last in merged(diagonals, max(SLACK, int(DRIFT * len(text)))):
+            if n < VOTED * (len(text) - size + 1):
+                continue
+            same = common(own[max(0, low) : max(0, high + len(text))], text)
+            if same >= COVERED * len(text):
+                found.append((-same, first, label, last + size, same / len(text)))
+    kept: list[tuple] = []
+    for span in sorted(found):
+        if all(span[3] <= k[1] or k[3] <= span[1] for k in kept):
+            kept.append(span)
+    kept.sort(key=lambda k: (k[1], k[2]))
+    return [dict(zip(("label", "start", "end", "covered"), (k[2], k[1], k[3], k[4]), strict=True)) for k in kept]
 
 
 def _counted(docs: DataFrame, phrases: tuple, templates: tuple, size: int) -> DataFrame:
     """doc_id, _text, n_words, n_base, first_word, last_word, base (labels), and own: the words of documents with a
     template gram, with blanks between them."""
     parts = [(p.encode().split(), label) for p, label in phrases]
-    grams = np.unique(np.concatenate([rolling(word_hashes(words(t.encode())), size) for _, t in templates]))
+    known = [rolling(word_hashes(words(t.encode())), size) for _, t in templates]
+    grams = np.unique(np.concatenate([np.empty(0, np.uint64), *known]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -152,8 +167,7 @@ def _counted(docs: DataFrame, phrases: tuple, templates: tuple, size: int) -> Da
                 last.append(max(starts, default=None))
                 labels.append(sorted({label for _, label in found}))
                 rolled = rolling(flat[e - len(w) : e], size)
-                at = np.minimum(np.searchsorted(grams, rolled), len(grams) - 1)
-                kept.append(b" ".join(w) if len(rolled) and (grams[at] == rolled).any() else None)
+                kept.append(b" ".join(w) if np.isin(rolled, grams).any() else None)
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id"),
@@ -179,9 +193,9 @@ def scanned(docs: DataFrame, phrases: tuple = PHRASES, templates: tuple = TEMPLA
     in words, covered: the verified template spans)."""
     docs = texts(docs, F.xxhash64("text").alias("_text"))
     voted = (
-        candidates(docs, templates, size)
+        votes(docs, templates, size)
         .groupBy("_id", "_text")
-        .agg(F.collect_list(F.struct("template", "low", "high", "votes")).alias("voted"))
+        .agg(F.collect_list(F.struct("template", "diagonal", "votes", "first", "last")).alias("voted"))
     )
     counted = _counted(docs, phrases, templates, size)
     rows = counted.join(
@@ -193,20 +207,8 @@ def scanned(docs: DataFrame, phrases: tuple = PHRASES, templates: tuple = TEMPLA
         for batch in batches:
             spans = []
             for own, voted in zip(batch.column("own").to_pylist(), batch.column("voted").to_pylist(), strict=True):
-                found, w = [], own.split() if voted and own is not None else []
-                for v in voted or ():
-                    label, text = wanted[v["template"]]
-                    start, end = max(0, v["low"]), min(len(w), v["high"] + len(text))
-                    same = common(w[start:end], text)
-                    if same >= COVERED * len(text):
-                        found.append((-same, start, label, end, same / len(text)))
-                # Of overlapping spans the one with the most words stays.
-                kept: list[tuple] = []
-                for span in sorted(found):
-                    if all(span[3] <= k[1] or k[3] <= span[1] for k in kept):
-                        kept.append(span)
-                kept.sort(key=lambda k: (k[1], k[2]))
-                spans.append([dict(zip(("label", "start", "end", "covered"), (k[2], k[1], k[3], k[4]))) for k in kept])
+                rows = [tuple(v.values()) for v in voted or ()]
+                spans.append(_spans(own.split(), rows, wanted, size) if rows and own is not None else [])
             kind = pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("covered", pa.float64())])
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in _PLAIN), pa.array(spans, pa.list_(kind))], names=[*_PLAIN, "spans"]

@@ -103,6 +103,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boosted_rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+#: Score of a phrase without a verified license text.
+PHRASE_SCORE = 0.5
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = F.array_union("base", F.transform("spans", lambda s: s["label"]))
     best = F.coalesce(F.array_max(F.transform("spans", lambda s: s["covered"])), F.lit(0.0))
@@ -114,7 +118,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "last_word",
         F.array_join(F.array_sort("base"), ",").alias("base_labels"),
         F.array_join(F.array_sort(labels), ",").alias("labels"),
-        F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(best).alias("score"),
+        F.greatest(best, F.when(F.col("n_base") > 0, F.lit(PHRASE_SCORE)).otherwise(F.lit(0.0))).alias("score"),
     )
 
 

@@ -406,17 +406,71 @@ def test_secrets_of_no_documents_and_null_ids(spark):
 # Licenses ----------------------------------------------------------------------------------------------------------
 
 
-def test_licenses(spark):
-    notice = license_scan.TEMPLATES[1][1]
-    edited = notice.replace("free of charge", "gratis").replace("copy of", "copy, of")
-    texts = ODD + ["x MIT   License. y mit license", "Licensed under CC BY-NC 4.0.", "a " * 50 + edited + " b" * 50, "general public license", "the apache and license"]
-    n = len(ODD)
-    rows = {r.doc_id: r for r in license_scan.scanned(table(spark, texts)).collect()}
-    labels = {i: {s.label for s in rows[i].spans} for i in rows}
-    assert (rows[n].n_base, rows[n].first_word, rows[n].last_word, rows[n].base) == (2, 1, 4, ["mit"])
-    assert labels[n + 1] == {"cc-by-nc"} and labels[n + 2] == {"mit"} and rows[n + 2].base == []
-    assert rows[n + 3].base == ["gpl"] and labels[n + 3] == set() and rows[n + 4].n_base == 0
-    assert all(not labels[i] for i in range(n)) and rows[0].n_words == 0 and rows[0].first_word is None
+def normal(text):
+    return WORD.findall((text or "").translate(LOWER))
+
+
+def brute_license(text, templates):
+    """(n_words, n_base, first, last, base labels, spans) of a text, with plain loops and a quadratic subsequence."""
+    own, base, found = normal(text), [], []
+    for phrase, label in license_scan.PHRASES:
+        p = phrase.split()
+        base += [(i, label) for i in range(len(own)) if own[i : i + len(p)] == p]
+    for label, t in templates:
+        t = normal(t)
+        hits = sorted((i - j, i) for i in range(len(own) - 2) for j in range(len(t) - 2) if own[i : i + 3] == t[j : j + 3])
+        groups = []
+        for d, i in hits:
+            if groups and d - groups[-1][-1][0] <= 3 and d - groups[-1][0][0] <= max(3, int(0.25 * len(t))):
+                groups[-1].append((d, i))
+            else:
+                groups.append([(d, i)])
+        for g in groups:
+            place = own[max(0, g[0][0]) : max(0, g[-1][0] + len(t))]
+            row = [0] * (len(t) + 1)
+            for x in place:
+                last = 0
+                for j, y in enumerate(t, 1):
+                    row[j], last = (last + 1 if x == y else max(row[j], row[j - 1])), row[j]
+            if len(g) >= 0.3 * (len(t) - 2) and row[-1] >= 0.8 * len(t):
+                found.append((-row[-1], min(i for _, i in g), label, max(i for _, i in g) + 3))
+    kept = []
+    for f in sorted(found):
+        if all(f[3] <= k[1] or k[3] <= f[1] for k in kept):
+            kept.append(f)
+    starts = [i for i, _ in base]
+    return (len(own), len(base), min(starts, default=None), max(starts, default=None), sorted({x for _, x in base}), sorted((k[1], k[2], k[3]) for k in kept))
+
+
+def license_rows(rng):
+    notices, out = [normal(t) for _, t in license_scan.TEMPLATES], []
+    for _ in range(60):
+        text = []
+        for _ in range(rng.randint(1, 3)):
+            t = rng.choice(notices)
+            text += rng.choices(["a", "b", "the", "mit", "license"], k=rng.randint(0, 12))
+            text += [rng.choice(["x", w, w, w]) if rng.random() < 0.1 else w for w in t if rng.random() > rng.choice([0, 0, 0.05, 0.3])]
+        out.append(", ".join(text).title())
+    out += ["mit license " * 40, "released under the mit license " * 6, "licensed under cc by 4 0 licensed under cc by 4 0"]
+    return [*ODD, *out, "x MIT   License. y mit license", "Licensed under CC BY-NC 4.0.", "general public license", "the apache and license"]
+
+
+def test_licenses_by_brute_force(spark):
+    texts = license_rows(random.Random(5))
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, texts[20]), (None, texts[21]), (15, texts[15]), (15, texts[16])]
+    want = [(i, *brute_license(t, license_scan.TEMPLATES)) for i, t in rows]
+    got = [(r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base, [(s.start, s.label, s.end) for s in r.spans])
+           for r in license_scan.scanned(table(spark, rows)).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    assert sum(bool(w[-1]) for w in want) > 30
+
+
+def test_no_licenses(spark):
+    assert license_scan.scanned(table(spark, []).limit(0)).count() == 0
+    docs = table(spark, ["mit license", license_scan.TEMPLATES[0][1]])
+    for templates in ((), (("x", "two words"),), (("x", ""),)):
+        got = {r.doc_id: (r.base, r.spans) for r in license_scan.scanned(docs, templates=templates).collect()}
+        assert got == {0: (["mit"], []), 1: ([], [])}
 
 
 # Quality -----------------------------------------------------------------------------------------------------------
