@@ -7,7 +7,8 @@ is taken only if its child values keep that order, and children are held to the
 The fit takes at most FIT_ROWS labelled documents, those of the smallest hash of doc_id; everything else covers all rows.
 
 Defined cases: null, empty and wordless texts have zero counts and fail the count rules; without labels of both classes
-the trees keep everything; repeated documents each get a row; equal hashes are ordered by doc_id.
+the trees keep everything; repeated documents each get a row; equal hashes are ordered by doc_id. To the fit a doc_id is
+one document: of different labels the smaller counts, of different texts the one whose statistics come first in order.
 """
 
 from __future__ import annotations
@@ -117,13 +118,13 @@ def fitted(docs: DataFrame, labels: DataFrame, target: str = "quality", rows: in
     Only the labels of these rows are broadcast and only their statistics reach the driver: both have `rows` rows.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(target).cast("int").alias("label"))
-    known = known.filter("doc_id is not null and label in (0, 1)").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    known = known.toPandas().drop_duplicates("doc_id")
+    known = known.filter("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.min("label").alias("label"))
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).toPandas()
     if known["label"].nunique() < 2:
         return None
     ids = docs.sparkSession.createDataFrame(known[["doc_id"]])
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
-    got = document_stats(chosen).select("doc_id", "features").toPandas().drop_duplicates("doc_id")
+    got = document_stats(chosen).groupBy("doc_id").agg(F.min("features").alias("features")).toPandas()
     got = got.merge(known, on="doc_id").sort_values("doc_id")
     if got["label"].nunique() < 2:
         return None

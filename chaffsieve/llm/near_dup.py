@@ -269,12 +269,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: tuple[int, int] =
     refused = open_lists.filter("not sized").select("area").unionByName(
         open_lists.join(judged.filter("not near").select("a", "b"), ["a", "b"]).select("area")
     )
-    rest = open_lists.join(refused.distinct(), "area").select("area", "m", F.col("a").alias("doc_id"))
+    # Written: else the join is on an aggregate's key, and adaptive execution leaves a long list in one task.
+    refused = written(refused.distinct(), "refused")
+    rest = open_lists.join(refused, "area").select("area", "m", F.col("a").alias("doc_id"))
     links = judged.filter("near").select("a", "b").unionByName(_among(rest, known, threshold, least))
     near = written(components(links), "near")
     exact = components(_verified(docs, known, near, size, threshold).unionByName(_several(known, classes)))
     exact = written(exact, "exact")
-    for spent in (members, judged, near):
+    for spent in (members, judged, refused, near):
         forgotten(spent)
     found = classes.join(exact.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
         "n", "sig_a", "sig_b", F.coalesce("component", "doc_id").alias("component_id")

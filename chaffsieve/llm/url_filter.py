@@ -39,7 +39,7 @@ def judged(pages: DataFrame, rules: DataFrame) -> DataFrame:
     ).distinct()
     lengths = sorted(r[0] for r in rules.select("n_path").distinct().collect())  # as many as the longest path, at most
     known = rules.select("*", F.sha2("rule", 256).alias("digest")).withColumn("short", F.substring("digest", 1, SHORT))
-    if len(rules.take(BROADCAST_RULES + 1)) <= BROADCAST_RULES:
+    if rules.count() <= BROADCAST_RULES:
         known = F.broadcast(known)
     suffixes = F.expr(
         "transform(split(host, '[.]'), (x, i) -> array_join(slice(split(host, '[.]'), i + 1, size(split(host, '[.]'))), '.'))"

@@ -533,6 +533,16 @@ def test_boosted_rules(spark):
     assert boosted_rules.judged(docs.limit(0), labels).count() == 0
 
 
+def test_boosted_fit_does_not_depend_on_row_order(spark):
+    """Labels and texts that contradict each other, in any order of rows."""
+    docs, labels, n = labelled(spark, 60)
+    more = docs.filter("doc_id % 7 = 0").withColumn("text", F.concat("text", F.lit(" and ### more!!")))
+    other = labels.filter("doc_id % 5 = 0").withColumn("quality", 1 - F.col("quality"))
+    docs, labels = docs.unionByName(more), labels.unionByName(other)
+    trees = [boosted_rules.fitted(d, w) for d, w in ((docs, labels), (docs.orderBy(F.rand(1)), labels.orderBy(F.desc("quality"))))]
+    assert all((getattr(trees[0], f) == getattr(trees[1], f)).all() for f in ("feature", "cut", "left", "right", "value", "roots"))
+
+
 def test_monotone_features():
     rng = np.random.default_rng(1)
     x = rng.random((3000, len(stats.FEATURES)))
