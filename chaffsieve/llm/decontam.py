@@ -4,8 +4,9 @@ Words are runs of [0-9a-z] and non-ASCII characters after A-Z became a-z. The wi
 `window` words; an item of fewer words is one window. Windows are hashed; a bit table and then the words themselves
 decide on a document window, so a hit is never a hash collision.
 
-The items go out as broadcasts of at most BLOCK_BYTES; more items mean more blocks and one scan for each, never a
-larger broadcast. The results do not depend on the number of blocks.
+The items go out as broadcasts of at most BLOCK_BYTES of text (an item is not cut); more items mean more blocks and one
+scan for each, never a larger broadcast. A worker holds about six times that: the words, and 24 bytes a window. The
+results do not depend on the number of blocks.
 
 Defined cases: null, empty or wordless texts have no words and no hits; items that are null, wordless or without id
 have no windows; repeated items count once by item_id; repeated documents are scanned row by row; other columns are
@@ -40,23 +41,39 @@ def words(body: bytes | None) -> list[bytes]:
 
 
 class Index:
-    """Windows of the items by their length, with a bit table over their hashes."""
+    """Windows of the items by their length: sorted hashes, each with the place of the window in one byte string of all
+    words and with its item, and a bit table over the hashes."""
 
     def __init__(self, items: list[tuple[int, bytes]], window: int):
-        self.windows: dict[int, dict[tuple, list[int]]] = {}
-        for item, body in items:
-            w = words(body)
-            size = min(window, len(w))
-            for i in range(len(w) - size + 1 if size else 0):
-                owners = self.windows.setdefault(size, {}).setdefault(tuple(w[i : i + size]), [])
-                if item not in owners:
-                    owners.append(item)
-        self.bits = {}
-        for size, found in self.windows.items():
-            table = np.zeros(1 << _BITS, bool)
-            for w in found:
-                table[int(rolling(word_hashes(list(w)), size)[0]) >> (64 - _BITS)] = True
-            self.bits[size] = table
+        own = [(item, words(body)) for item, body in items]
+        own = [(item, w) for item, w in own if w]
+        flat = [x for _, w in own for x in w]
+        self.text = b" ".join(flat)
+        lengths = np.fromiter(map(len, flat), np.int64, len(flat))
+        self.ends = np.cumsum(lengths + 1) - 1
+        self.starts = self.ends - lengths
+        self.items = np.array([item for item, _ in own], np.int64)
+        hashes, counts = word_hashes(flat), np.array([len(w) for _, w in own], np.int64)
+        owner = np.repeat(np.arange(len(own)), counts)
+        sizes = np.minimum(window, counts)
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.bits: dict[int, np.ndarray] = {}
+        for size in np.unique(sizes).tolist():
+            rolled = rolling(hashes, size)
+            at = np.flatnonzero((owner[: len(rolled)] == owner[size - 1 :]) & (sizes[owner[: len(rolled)]] == size))
+            at = at[np.argsort(rolled[at], kind="stable")]
+            self.windows[size] = (rolled[at], at, owner[at])
+            self.bits[size] = np.zeros(1 << _BITS, bool)
+            self.bits[size][rolled[at] >> np.uint64(64 - _BITS)] = True
+
+    def _owners(self, size: int, low: int, high: int, found: bytes) -> set[int]:
+        """The items of the windows low to high of this length that are these words."""
+        _, at, owner = self.windows[size]
+        same = set()
+        for k in range(low, high):
+            if self.text[self.starts[at[k]] : self.ends[at[k] + size - 1]] == found:
+                same.add(int(self.items[owner[k]]))
+        return same
 
     def scan(self, docs: list[list[bytes]]) -> list[tuple[list[tuple[int, int]], list[int]]]:
         """For each document its hit runs of words (start, end) and the items that occur."""
@@ -66,17 +83,23 @@ class Index:
         hashes = word_hashes(flat)
         spans: dict[int, list[tuple[int, int]]] = {}
         items: dict[int, set[int]] = {}
-        for size, found in self.windows.items():
+        for size, (known, _, _) in self.windows.items():
             rolled = rolling(hashes, size)
             if not len(rolled):
                 continue
             at = np.flatnonzero(self.bits[size][rolled >> np.uint64(64 - _BITS)])
-            for p in at[owner[at] == owner[at + size - 1]].tolist():
-                if owners := found.get(tuple(flat[p : p + size])):
+            at = at[owner[at] == owner[at + size - 1]]
+            low, high = (np.searchsorted(known, rolled[at], side) for side in ("left", "right"))
+            seen: dict[bytes, set[int]] = {}
+            for p, a, b in zip(*(x[low < high].tolist() for x in (at, low, high)), strict=True):
+                window = b" ".join(flat[p : p + size])
+                if window not in seen:
+                    seen[window] = self._owners(size, a, b, window)
+                if seen[window]:
                     d = int(owner[p])
                     start = p - int(ends[d]) + len(docs[d])
                     spans.setdefault(d, []).append((start, start + size))
-                    items.setdefault(d, set()).update(owners)
+                    items.setdefault(d, set()).update(seen[window])
         out = []
         for d in range(len(docs)):
             runs: list[tuple[int, int]] = []
@@ -101,14 +124,18 @@ def _index(key: str, items: list, window: int) -> Index:
 
 
 def _blocks(items: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
-    """The items in blocks of bounded size."""
+    """The items, read partition by partition, in blocks of at most BLOCK_BYTES or of one item; at least one block."""
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("body"))
-    items = items.filter("item_id is not null and body is not null")
-    total = items.agg(F.sum(F.length("body") + 64)).first()[0] or 0
-    n = int(total // (BLOCK_BYTES // 2)) + 1
-    for k in range(n):
-        block = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "body"), F.lit(n)) == k)
-        yield [(r[0], bytes(r[1])) for r in block.toLocalIterator()]
+    block, held, blocks = [], 0, 0
+    for r in items.filter("item_id is not null and body is not null").toLocalIterator():
+        size = len(r[1]) + 64
+        if block and held + size > BLOCK_BYTES:
+            yield block
+            block, held, blocks = [], 0, blocks + 1
+        block.append((r[0], bytes(r[1])))
+        held += size
+    if block or not blocks:
+        yield block
 
 
 def _sent(docs: DataFrame, items: DataFrame) -> list[tuple]:

@@ -10,7 +10,8 @@ windows are.
 
 Defined cases: lines are what stands between line feeds; windows of blank lines only do not count; documents of fewer
 than three lines, null texts and rows with null doc_id stay as they are; rows of equal doc_id and text count as one
-document and keep the same lines; all other columns are kept unless they are named like the internal ones (_dd_...).
+document and keep the same lines; different texts of one doc_id are documents in the order of a hash of the text; all other
+columns are kept unless they are named like the internal ones (_dd_...); `marked` replaces columns n_lines and removed.
 """
 
 from __future__ import annotations
@@ -41,18 +42,18 @@ def later_windows(docs: DataFrame) -> DataFrame:
     windows = _windows(docs)
     first = (
         windows.groupBy("a", "b")
-        .agg(F.min(F.struct("_dd_id", "pos")).alias("first"), F.count("*").alias("n"))
+        .agg(F.min(F.struct("_dd_id", "_dd_text", "pos")).alias("first"), F.count("*").alias("n"))
         .filter("n > 1")
-        .select("a", "b", F.col("first._dd_id").alias("first_id"), F.col("first.pos").alias("first_pos"))
+        .select("a", "b", "first")
     )
-    later = windows.join(first, ["a", "b"]).filter("_dd_id <> first_id or pos <> first_pos")
+    later = windows.join(first, ["a", "b"]).filter("_dd_id <> first._dd_id or _dd_text <> first._dd_text or pos <> first.pos")
     return later.groupBy("_dd_id", "_dd_text").agg(F.array_sort(F.collect_set("pos")).alias("_dd_later"))
 
 
 def marked(docs: DataFrame) -> DataFrame:
     """The documents with n_lines and removed (sorted numbers of removed lines); text is what is left."""
     return _marked(docs).select(
-        *[c for c in docs.columns if c != "text"],
+        *[c for c in docs.columns if c not in ("text", "n_lines", "removed")],
         F.coalesce(F.size("_dd_lines"), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce("_dd_gone", F.array().cast("array<int>")).alias("removed"),
         _rest().alias("text"),

@@ -181,6 +181,16 @@ def test_spans_are_cut_and_whole_documents_go(spark):
     assert decontam.hits(out, items, window=5).filter("size(hits) > 0").count() == 0
     empty = items.limit(0)
     assert decontam.decontaminated(docs, empty).count() == len(texts)
+    assert decontam.hits(docs.limit(0), items).count() == decontam.decontaminated(docs.limit(0), items).count() == 0
+    assert decontam.hits(docs, spark.createDataFrame([(None, "a b"), (1, None), (2, "..")], "item_id long, text string")).filter("size(hits) > 0").count() == 0
+
+
+def test_equal_hashes_are_told_apart_by_words(monkeypatch):
+    monkeypatch.setattr(decontam, "rolling", lambda hashes, size: np.zeros(max(0, len(hashes) - size + 1), np.uint64))
+    index = decontam.Index([(1, b"a b c d"), (2, b"x y"), (3, b"b c d e"), (4, b"!")], 3)
+    docs = [b"a b c d e", b"c d", b"x y x", b"", b"q b c d"]
+    want = [brute_hits(d.decode(), [(1, "a b c d"), (2, "x y"), (3, "b c d e")], 3) for d in docs]
+    assert [(sum(e - s for s, e in runs), ids) for runs, ids in index.scan([decontam.words(d) for d in docs])] == [w[1:] for w in want]
 
 
 def test_results_do_not_depend_on_blocks(spark, monkeypatch):
@@ -223,6 +233,15 @@ def test_line_dedup(spark):
         assert got[i] == (want.get(i, []), rest)
 
 
+def test_line_dedup_of_documents_of_several_texts(spark):
+    rows = [(1, "a\nb\nc\nd"), (1, "a\nb\nc\ne"), (1, "a\nb\nc\ne"), (2, "x\na\nb\nc")]
+    docs = spark.createDataFrame([(*r, "x", 7) for r in rows], "doc_id long, text string, removed string, n_lines int")
+    out = line_dedup.marked(docs)
+    assert sorted(out.columns) == ["doc_id", "n_lines", "removed", "text"]
+    got = sorted((r.doc_id, r.text) for r in out.collect())
+    assert got in ([(1, "a\nb\nc\nd"), (1, "e"), (1, "e"), (2, "x")], [(1, "a\nb\nc\ne"), (1, "a\nb\nc\ne"), (1, "d"), (2, "x")])
+
+
 def test_line_dedup_keeps_columns_and_drops_what_is_empty(spark):
     docs = table(spark, ["a\nb\nc", "a\nb\nc", (None, "a\nb\nc"), None, (0, "a\nb\nc")])
     out = line_dedup.deduplicated(docs)
