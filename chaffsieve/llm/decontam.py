@@ -5,8 +5,8 @@ Words are runs of [0-9a-z] and non-ASCII characters after A-Z became a-z. The wi
 decide on a document window, so a hit is never a hash collision.
 
 The items go out as broadcasts of at most BLOCK_BYTES of text (an item is not cut); more items mean more blocks and one
-scan for each, never a larger broadcast. A worker holds about six times that: the words, and 24 bytes a window. The
-results do not depend on the number of blocks.
+scan for each, never a larger broadcast. A worker holds the words, 16 bytes a window and 8 a word of a block: about five
+times its text, and twenty times while it builds the index. The results do not depend on the number of blocks.
 
 Defined cases: null, empty or wordless texts have no words and no hits; items that are null, wordless or without id
 have no windows; repeated items count once by item_id; repeated documents are scanned row by row; other columns are
@@ -28,7 +28,7 @@ from chaffsieve.llm._common import ALNUM, rolling, slices, texts, word_hashes, w
 
 WINDOW = 10
 #: Most bytes of item text in one broadcast.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: A document of which at least this share of the words is hit goes as a whole.
 DROP_SHARE = 0.5
 _BITS = 22
@@ -50,8 +50,8 @@ class Index:
         flat = [x for _, w in own for x in w]
         self.text = b" ".join(flat)
         lengths = np.fromiter(map(len, flat), np.int64, len(flat))
-        self.ends = np.cumsum(lengths + 1) - 1
-        self.starts = self.ends - lengths
+        self.ends = (np.cumsum(lengths + 1) - 1).astype(np.int32)
+        self.starts = (self.ends - lengths).astype(np.int32)
         self.items = np.array([item for item, _ in own], np.int64)
         hashes, counts = word_hashes(flat), np.array([len(w) for _, w in own], np.int64)
         owner = np.repeat(np.arange(len(own)), counts)
@@ -62,7 +62,7 @@ class Index:
             rolled = rolling(hashes, size)
             at = np.flatnonzero((owner[: len(rolled)] == owner[size - 1 :]) & (sizes[owner[: len(rolled)]] == size))
             at = at[np.argsort(rolled[at], kind="stable")]
-            self.windows[size] = (rolled[at], at, owner[at])
+            self.windows[size] = (rolled[at], at.astype(np.int32), owner[at].astype(np.int32))
             self.bits[size] = np.zeros(1 << _BITS, bool)
             self.bits[size][rolled[at] >> np.uint64(64 - _BITS)] = True
 
