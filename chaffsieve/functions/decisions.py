@@ -92,6 +92,17 @@ def group_instructions(source: Column, start: Column, size: Column) -> Column:
     return F.concat(F.array_join(refs, "; "), F.lit(". "), rule)
 
 
+def question_set_id() -> Column:
+    """Identity of the questions: all texts, with a first source and position, and the options of each size, as one JSON
+    list, hashed. Thresholds are no part of it."""
+    source, sizes = F.lit("s0"), [F.lit(n) for n in range(1, GROUP_SIZE + 1)]
+    texts = [page_instructions(source), *(group_instructions(source, F.lit(0), n) for n in sizes)]
+    said = F.to_json(F.array(*texts))
+    options = F.to_json(F.array(*(option_labels(n) for n in sizes)))
+    inner = lambda c: F.substring(c, F.lit(2), F.length(c) - 2)
+    return F.substring(F.sha2(F.concat(F.lit("["), inner(said), F.lit(","), inner(options), F.lit("]")), 256), 1, 12)
+
+
 def answer_state(probabilities: Column, size: Column) -> Column:
     """missing, labels, sum or ok for a choice answer (map from label to probability)."""
     expected = option_labels(size)

@@ -63,6 +63,13 @@ def place_query(c: Column) -> Column:
     return F.nullif(trimmed(c), F.lit(""))
 
 
+def is_place_search(query: Column, count: Column, latitude: Column, longitude: Column, radius: Column, location: Column) -> Column:
+    """Whether the parameters of a place search fit; each may be absent, a blank query counts as absent."""
+    short = place_query(query).isNull() | is_query(query)
+    named = location.isNull() | (trimmed(location) != "")
+    return short & named & in_range("places_count", count) & in_range("latitude", latitude) & in_range("longitude", longitude) & (radius.isNull() | (radius >= 0))
+
+
 def goggle(c: Column) -> Column:
     """The trimmed goggle; null for blanks and for URLs that are not https."""
     g = trimmed(c)

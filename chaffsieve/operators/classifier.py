@@ -77,6 +77,12 @@ def state(requests: DataFrame, sources: DataFrame, tiles: DataFrame) -> DataFram
     )
 
 
+def group_map(mappings: DataFrame) -> DataFrame:
+    """request_id, source_id and groups: of several mappings of a source the last one holds. mappings: request_id, ord,
+    source_id, groups."""
+    return mappings.groupBy("request_id", "source_id").agg(F.max_by("groups", "ord").alias("groups"))
+
+
 def answered(asked: DataFrame, answers: DataFrame) -> DataFrame:
     """Questions with their answers by the explicit key; answers to nothing are ignored, a missing one is null.
 

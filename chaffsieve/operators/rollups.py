@@ -99,6 +99,23 @@ def accounting(calls: DataFrame) -> DataFrame:
     )
 
 
+#: Columns of a request that hold text or model output.
+BODY = ("state", "questions", "answers", "mapping", "model")
+
+
+def request_summary(requests: DataFrame) -> DataFrame:
+    """Requests for the log: everything but what was sent and what came back."""
+    return requests.drop(*BODY)
+
+
+def distinct_in_order(rows: DataFrame, key: list[str], value: str, order: list[str], name: str) -> DataFrame:
+    """`key` and `name`: the different values of each key in the order in which they were first met. Only the first place
+    of each value is gathered."""
+    first = rows.filter(F.col(value).isNotNull()).groupBy(*key, value).agg(F.min(F.struct(*order)).alias("_first"))
+    met = F.array_sort(F.collect_list(F.struct("_first", F.col(value).alias("_value"))))
+    return first.groupBy(*key).agg(F.transform(met, lambda x: x["_value"]).alias(name))
+
+
 def _plural(n: Column, word: str) -> Column:
     return F.concat(n.cast("string"), F.lit(f" {word}"), F.when(n == 1, F.lit("")).otherwise(F.lit("s")))
 

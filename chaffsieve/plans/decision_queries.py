@@ -56,14 +56,38 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("f46_question_set_id", f"""SELECT substr(sha256('No snippet of source s0 helps to answer the intent.' ||
-  'A=s0[0]. Keep A if it holds information specific to the intent.' || array_to_string({_LABELS}[3], ',')), 1, 12) AS id""")
+_RULES = ("Keep A if it holds information specific to the intent.", "Select exactly the letters that hold information specific to the intent, or none.")
+_SET = f"""'["No snippet of source s0 helps to answer the intent.","A=s0[0]. {_RULES[0]}","A=s0[0]; B=s0[1]. {_RULES[1]}",' ||
+  '"A=s0[0]; B=s0[1]; C=s0[2]. {_RULES[1]}",' || array_to_string(list_transform({_LABELS}, lambda l: '["' || array_to_string(l, '","') || '"]'), ',') || ']'"""
+
+
+@query("f46_question_set_id", f"SELECT substr(sha256({_SET}), 1, 12) AS id")
 def question_set_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = F.lit(1)
-    text = F.concat(
-        D.page_instructions(F.lit("s0")), D.group_instructions(F.lit("s0"), F.lit(0), one), F.array_join(D.option_labels(F.lit(3)), ",")
-    )
-    return spark.range(1).select(F.substring(F.sha2(text, 256), 1, 12).alias("id"))
+    return spark.range(1).select(D.question_set_id().alias("id"))
+
+
+@query(
+    "j12_group_map",
+    f"""{_TILES}, maps AS (SELECT request_id, source_index, group_start // 3 % 2 AS ord, list(DISTINCT group_start ORDER BY group_start) AS groups FROM tiles GROUP BY ALL)
+SELECT request_id, 's' || source_index AS source_id, array_to_string(arg_max(groups, ord), ',') AS groups FROM maps GROUP BY request_id, source_index""",
+)
+def group_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = F.array_sort(F.collect_set("group_start")).alias("groups")
+    maps = _tiles(spark, sf_dir).groupBy("request_id", D.source_id(F.col("source_index")).alias("source_id"), F.expr("group_start div 3 % 2").alias("ord")).agg(groups)
+    return classifier.group_map(maps).select("request_id", "source_id", F.array_join("groups", ",").alias("groups"))
+
+
+@query(
+    "p20_request_summaries",
+    f"""{_TILES} SELECT request_id, count(DISTINCT source_index) AS n_sources, count(*) AS n_snippets, CAST(sum({B.sql_units('text')}) AS BIGINT) AS n_chars
+FROM tiles GROUP BY request_id""",
+)
+def request_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    requests = _tiles(spark, sf_dir).groupBy("request_id").agg(
+        F.count_distinct("source_index").alias("n_sources"), F.count("*").alias("n_snippets"), F.sum(T.utf16_length(F.col("text"))).alias("n_chars"),
+        *(F.lit("text").alias(c) for c in rollups.BODY),
+    )
+    return rollups.request_summary(requests)
 
 
 @query("d03_s12_classifier_state")

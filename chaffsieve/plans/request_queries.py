@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chaffsieve.functions import dates, decisions as D
+from chaffsieve.functions import net
 from chaffsieve.functions import params as P
+from chaffsieve.operators import rollups, work_table
 from chaffsieve.plans import base as B
 from chaffsieve.plans.registry import query
 
@@ -55,12 +57,18 @@ def defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "p26_p30_query_predicate",
-    rf"""WITH q AS (SELECT doc_id, {B.sql_trim("substr(text, 1, CAST(doc_id % 500 AS INTEGER))")} AS q FROM documents)
-SELECT doc_id, length(q) BETWEEN 1 AND 400 AND len(regexp_split_to_array(q, '[{B.WS}]+')) <= 50 AS valid, nullif(q, '') AS place_query FROM q""",
+    rf"""WITH {B.source_sql()}, {B.snippet_sql()}, q AS (
+  SELECT request_id, source_index, index, {B.sql_trim("text")} AS q FROM snip
+  UNION ALL SELECT doc_id, -1, -1, {B.sql_trim("text")} FROM documents)
+SELECT request_id, source_index, index, length(q) BETWEEN 1 AND 400 AND len(regexp_split_to_array(q, '[{B.WS}]+')) <= 50 AS valid,
+  nullif(q, '') AS place_query FROM q""",
 )
 def query_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = F.expr("substr(text, 1, cast(doc_id % 500 as int))")
-    return B.table(spark, sf_dir, "documents").select("doc_id", P.is_query(q).alias("valid"), P.place_query(q).alias("place_query"))
+    """Whole lines and whole texts as queries."""
+    lines = work_table.snippet_rows(B.sources(spark, sf_dir)).select("request_id", "source_index", "index", "text")
+    whole = B.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("request_id"), F.lit(-1).cast("long").alias("source_index"), F.lit(-1).cast("long").alias("index"), "text")
+    t = F.col("text")
+    return lines.unionByName(whole).select("request_id", "source_index", "index", P.is_query(t).alias("valid"), P.place_query(t).alias("place_query"))
 
 
 _FRESH = "CASE id % 5 WHEN 0 THEN 'pd' WHEN 1 THEN 'px' WHEN 2 THEN '2024-13-45to2024-01-01' WHEN 3 THEN '2024-01-01to' ELSE 'pm ' END"
@@ -174,3 +182,69 @@ def retry_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def one_line_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
     return B.table(spark, sf_dir, "documents").select("doc_id", P.one_line(t).alias("message"), P.one_line(t, 80).alias("value"))
+
+
+_HOSTS = (
+    "Example.COM:8080", "example.com", "example.com/path", "example.com?q=1", "example.com#frag", "user:pw@example.com", "example.com:80evil",
+    "example.com:99999999", "[::1]", "[::1]:80", "", "  127.0.0.1 ", "127.0.0.01", "127.256.0.1", "localhost", "::1", "a b", "example.com:",
+    "127.9.200.255", "a,b  c,,d", "0080", "65536",
+)
+_ORIGINS = ("https://Example.com:443/x?y", "HTTP://a.B:8080", "ftp://u:p@h.i/", "blob:x", "null", " wss://h:443 ", "http://h:0080/", "https://[::1]:8443", "http://h:70000", "")
+_PICKED = f"""SELECT page_id, url, [{', '.join(map(B.quoted, _HOSTS))}][page_id % {len(_HOSTS)} + 1] AS v,
+  CASE WHEN page_id % 3 = 0 THEN [{', '.join(map(B.quoted, _ORIGINS))}][page_id % {len(_ORIGINS)} + 1] ELSE url END AS o FROM pages"""
+
+
+@query(
+    "f53_hosts_ports_lists",
+    rf"""WITH picked AS ({_PICKED}), t AS (SELECT *, trim(v) AS h, trim(o) AS u FROM picked),
+cut AS (SELECT *, split_part(h, ']', 1) AS six, regexp_replace(h, '^(\[[^\]]*\]|[^:]*)', '') AS rest,
+  lower(regexp_extract(u, '^([A-Za-z]+)://', 1)) AS scheme, regexp_extract(u, '^[A-Za-z]+://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]+)', 1) AS name,
+  coalesce(nullif(regexp_extract(u, '^[A-Za-z]+://(?:[^/?#@]*@)?(?:\[[^\]]*\]|[^/?#:]+):0*([0-9]+)', 1), ''), '0') AS n FROM t)
+SELECT page_id,
+  CASE WHEN h = '' OR regexp_matches(h, '[/@?# ,]') OR starts_with(h, ':') OR NOT regexp_full_match(rest, '(:[0-9]*)?')
+    OR coalesce(try_cast(nullif(replace(rest, ':', ''), '') AS BIGINT), 0) > 65535 THEN NULL
+    WHEN starts_with(h, '[') THEN lower(substr(six, 2)) ELSE lower(split_part(h, ':', 1)) END AS host,
+  v IN ('localhost', '::1', '127.9.200.255') AS loopback,
+  CASE WHEN regexp_full_match(h, '[0-9]+') AND CAST(h AS BIGINT) BETWEEN 1 AND 65535 THEN CAST(h AS INTEGER) END AS port,
+  array_to_string(list_filter(regexp_split_to_array(v, '[\s,]+'), lambda x: x <> ''), '|') AS list,
+  CASE WHEN scheme NOT IN ('http', 'https', 'ws', 'wss', 'ftp') OR name = '' OR CAST(n AS BIGINT) > 65535 THEN NULL
+    ELSE scheme || '://' || lower(name) || CASE WHEN n = '0' OR (scheme, n) IN (('http', '80'), ('https', '443'), ('ws', '80'), ('wss', '443'), ('ftp', '21'))
+      THEN '' ELSE ':' || n END END AS origin FROM cut""",
+)
+def hosts_ports_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pick = lambda values: F.get(F.array(*map(F.lit, values)), (F.col("page_id") % len(values)).cast("int"))
+    v, o = F.col("v"), F.col("o")
+    rows = B.table(spark, sf_dir, "pages").select("page_id", pick(_HOSTS).alias("v"), F.when(F.expr("page_id % 3 = 0"), pick(_ORIGINS)).otherwise(F.col("url")).alias("o"))
+    return rows.select(
+        "page_id", net.host(v).alias("host"), net.is_loopback(v).alias("loopback"), net.port(v).alias("port"),
+        F.array_join(net.delimited(v), "|").alias("list"), net.origin(o).alias("origin"),
+    )
+
+
+_PLACE = """SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN '   ' ELSE o_orderpriority END AS query,
+  CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey % 55 END AS count, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey % 100 - 5 END AS latitude,
+  CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey % 200 - 10 END AS longitude, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 9 - 1 END AS radius,
+  CASE o_orderkey % 7 WHEN 0 THEN ' ' WHEN 1 THEN 'paris france' END AS location FROM orders"""
+
+
+@query(
+    "s13_place_search_parameters",
+    f"""WITH p AS ({_PLACE}) SELECT id, coalesce(count BETWEEN 1 AND 50, true) AND coalesce(latitude BETWEEN -90 AND 90, true)
+  AND coalesce(longitude BETWEEN -180 AND 180, true) AND coalesce(radius >= 0, true) AND coalesce(trim(location) <> '', true) AS valid,
+  nullif(trim(query), '') AS query FROM p""",
+)
+def place_search_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    B.table(spark, sf_dir, "orders").createOrReplaceTempView("_orders")
+    rows = spark.sql(_PLACE.replace("FROM orders", "FROM _orders"))
+    fit = P.is_place_search(*(F.col(c) for c in ("query", "count", "latitude", "longitude", "radius", "location")))
+    return rows.select("id", fit.alias("valid"), P.place_query(F.col("query")).alias("query"))
+
+
+@query(
+    "u04_distinct_in_order",
+    """WITH f AS (SELECT user_id, event_type, min((ts, event_id)) AS first FROM events GROUP BY ALL)
+SELECT user_id, string_agg(event_type, ',' ORDER BY first) AS kinds FROM f GROUP BY user_id""",
+)
+def distinct_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rollups.distinct_in_order(B.table(spark, sf_dir, "events"), ["user_id"], "event_type", ["ts", "event_id"], "kinds")
+    return out.select("user_id", F.array_join("kinds", ",").alias("kinds"))

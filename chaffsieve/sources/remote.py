@@ -12,10 +12,12 @@ import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Attempts, back-off, breaker and gate of the classifier.
@@ -24,25 +26,37 @@ BREAK_AFTER, BREAK_S = 3, 60.0
 CONCURRENCY, TIMEOUT_S = 12, 15.0
 
 
-def fetch(url: str, headers: dict[str, str] | None = None, body: bytes | None = None, timeout: float = TIMEOUT_S) -> tuple[int, str]:
-    """Status and body; a status that is no success is returned, not raised."""
+def fetch(url: str, headers: dict[str, str] | None = None, body: bytes | None = None, timeout: float = TIMEOUT_S) -> tuple[int, str, str]:
+    """Status, its text and the body; a status that is no success is returned, not raised."""
     request = urllib.request.Request(url, data=body, headers={"Accept": "application/json", **(headers or {})})
     try:
         with urllib.request.urlopen(request, timeout=timeout) as r:
-            return r.status, r.read().decode()
+            return r.status, r.reason, r.read().decode()
     except urllib.error.HTTPError as e:
-        return e.code, e.read().decode(errors="replace")
+        return e.code, e.reason, e.read().decode(errors="replace")
+
+
+def error_text(status: int, reason: str, body: str) -> str | None:
+    """Status, its text and the body (JSON indented) of what is no success; null for success."""
+    if 200 <= status < 300:
+        return None
+    try:
+        body = json.dumps(json.loads(body), indent=2, ensure_ascii=False)
+    except ValueError:
+        pass
+    return f"{status} {reason}\n{body}"
 
 
 class SearchSource(DataSource):
-    """Rows of request (its query string), status and body."""
+    """Rows of request (its query string), status, body and error (null for success). A request that gets no answer fails
+    its task, which Spark repeats."""
 
     @classmethod
     def name(cls) -> str:
         return "search_json"
 
     def schema(self) -> str:
-        return "request string, status int, body string"
+        return "request string, status int, body string, error string"
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options)
@@ -65,8 +79,16 @@ class _Reader(DataSourceReader):
 
     def read(self, partition: _Block) -> Iterator[tuple]:
         for q in partition.queries:
-            status, body = fetch(f"{self.base}?{q}", {"X-Subscription-Token": self.key} if self.key else None)
-            yield q, status, body
+            status, reason, body = fetch(f"{self.base}?{q}", {"X-Subscription-Token": self.key} if self.key else None)
+            yield q, status, body, error_text(status, reason, body)
+
+
+def passed_through(found: DataFrame) -> DataFrame:
+    """request, text, is_error and structured for rows of a search source: the response as it is (place search)."""
+    failed = F.col("error").isNotNull()
+    return found.select(
+        "request", F.when(failed, F.col("error")).otherwise(F.col("body")).alias("text"), failed.alias("is_error"), F.when(~failed, F.col("body")).alias("structured")
+    )
 
 
 @dataclass
@@ -76,14 +98,16 @@ class Breaker:
     now: Callable[[], float] = time.monotonic
     failures: int = 0
     open_until: float = 0.0
+    lock: threading.Lock = field(default_factory=threading.Lock)
 
     def is_open(self) -> bool:
         return self.now() < self.open_until
 
     def note(self, transient_failure: bool) -> None:
-        self.failures = self.failures + 1 if transient_failure else 0
-        if self.failures >= BREAK_AFTER:
-            self.open_until, self.failures = self.now() + BREAK_S, 0
+        with self.lock:
+            self.failures = self.failures + 1 if transient_failure else 0
+            if self.failures >= BREAK_AFTER:
+                self.open_until, self.failures = self.now() + BREAK_S, 0
 
 
 class Client:
@@ -127,13 +151,18 @@ class Client:
 
 
 def classified(states: DataFrame, make_client: Callable[[], Client]) -> DataFrame:
-    """request_id, kind, status, body, attempts and dispatched for rows of request_id and state, a call each."""
+    """request_id, kind, status, body, attempts and dispatched for rows of request_id and state, a call each.
+
+    A worker has CONCURRENCY calls under way at most; the next waiting state, in the order of the rows, takes the place of
+    one that has ended."""
     kind = dict(states.dtypes)["request_id"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = make_client()
         for frame in frames:
-            got = pd.DataFrame([client.classify(s) for s in frame["state"]], columns=["kind", "status", "body", "attempts", "dispatched"])
+            with ThreadPoolExecutor(CONCURRENCY) as pool:
+                calls = list(pool.map(client.classify, frame["state"]))
+            got = pd.DataFrame(calls, columns=["kind", "status", "body", "attempts", "dispatched"])
             got.insert(0, "request_id", frame["request_id"].to_numpy())
             got["status"] = got["status"].astype("Int32")
             yield got
