@@ -10,6 +10,7 @@ from chaffsieve.functions import text as T
 from chaffsieve.operators import classifier, rollups, verdicts, work_table
 from chaffsieve.plans import base as B
 from chaffsieve.plans.registry import query
+from chaffsieve.plans.text_queries import COVER_SQL
 
 KEY = ["request_id", "source_index"]
 _BASE = f"{B.source_sql()}, {B.snippet_sql()}"
@@ -90,7 +91,14 @@ def request_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.request_summary(requests)
 
 
-@query("d03_s12_classifier_state")
+@query(
+    "d03_s12_classifier_state",
+    f"""{_TILES}, one AS (
+  SELECT request_id, source_index, '"s' || source_index || '":{{"id":"s' || source_index || '","url":' || to_json(any_value(url)) || ',"title":' || to_json(any_value(title)) ||
+    ',"snippets":' || to_json(list(text ORDER BY position)) || ',"brave_page_date":"2024-02-29"}}' AS body FROM tiles GROUP BY request_id, source_index)
+SELECT request_id, '{{"query":"q' || request_id || '","intent":"find it","sources":{{' || string_agg(body, ',' ORDER BY source_index) ||
+  '}},"retrieval_time":"2024-05-01T10:00:00Z"}}' AS state FROM one GROUP BY request_id""",
+)
 def classifier_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     tiles, sources = _tiles(spark, sf_dir), B.sources(spark, sf_dir)
     age = F.to_json(F.struct(F.array(F.lit("3 days ago"), F.lit("2024-02-29")).alias("age")))
@@ -184,7 +192,7 @@ def page_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CUT = f"CASE WHEN group_size >= 2 THEN {_T.group_keep}::DOUBLE ELSE {_T.single_keep}::DOUBLE END"
-_FINAL = f"""{_JUDGED}, {_PAGES}, decided AS (
+FINAL_SQL = _FINAL = f"""{_JUDGED}, {_PAGES}, decided AS (
   SELECT j.*, coalesce(NOT drops AND (keep_probability < {_CUT} OR keep_probability - ({_CUT}) <= {_SLACK}), false) AS gone,
     CASE WHEN NOT drops AND keep_probability >= {_CUT} AND keep_probability - ({_CUT}) <= {_SLACK}
       THEN least(keep_probability - ({_CUT}), 0.02::DOUBLE) END AS gap, drops, good
@@ -216,7 +224,20 @@ def cleanup_eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts.cleanup_eligible(sources, judged)
 
 
-@query("d06_final_cleanup")
+#: Eligible sources and what their kept snippets cover, after decided.
+CLEANED_SQL = f"""eligible AS (SELECT request_id, source_index FROM decided GROUP BY ALL
+  HAVING bool_and(NOT drops AND good AND answer_state = 'ok' AND keep_probability BETWEEN 0 AND 1)),
+clean AS (SELECT * FROM decided JOIN eligible USING (request_id, source_index) WHERE NOT gone),
+{COVER_SQL.replace('FROM snip', 'FROM clean').replace('index AS position', 'position')}"""
+
+
+@query(
+    "d06_final_cleanup",
+    f"""{_FINAL}, {CLEANED_SQL} SELECT d.request_id, d.source_index, index, NOT gone AND c.position IS NULL AS kept,
+  CASE WHEN c.position IS NOT NULL THEN 'dup' WHEN gone THEN 'keep_probability' END AS reason, covered_by,
+  CASE WHEN c.position IS NOT NULL THEN 'same_source_exact_coverage' END AS final
+FROM decided d LEFT JOIN covered c ON c.request_id = d.request_id AND c.source_index = d.source_index AND c.position = d.position""",
+)
 def final_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources, judged = _paged(spark, sf_dir)
     _, rows = _decided(spark, sf_dir)

@@ -9,17 +9,10 @@ from chaffsieve.functions import urls
 from chaffsieve.functions.text import PREFIX_KEYS
 from chaffsieve.operators import filter as whole, rollups, work_table
 from chaffsieve.plans import base as B
-from chaffsieve.plans.decision_queries import _answers
+from chaffsieve.plans.decision_queries import CLEANED_SQL, FINAL_SQL, _answers
 from chaffsieve.plans.registry import query
 
 
-@query("s12_filter_on")
-def filter_on(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mode on with recorded answers: a row a snippet."""
-    out = whole.run(B.marked_sources(spark, sf_dir), "on", lambda tiles, asked: _answers(tiles)).snippets
-    return out.select("request_id", "source_index", "index", "part", "kept", "reason")
-
-
 _M, _SNIP = B.source_sql(B.MARKED), B.snippet_sql()
 _KEYS = "[" + ", ".join(map(B.quoted, PREFIX_KEYS)) + "]"
 _OFF = f"""WITH {_M}, {_SNIP}, keyed AS (SELECT *, {B.sql_line_key('text')} AS key FROM snip),
@@ -28,6 +21,24 @@ judged AS (SELECT *, CASE WHEN {B.sql_trim('text')} = '' THEN 'nav' WHEN len(lis
   THEN 'boilerplate' END AS reason FROM keyed)"""
 
 
+# The local chain, then what follows the tiles elsewhere: the kept snippets are those that the chain leaves.
+_ON = f"""{_OFF.replace('judged AS', 'local AS')}, kept AS (SELECT * FROM local WHERE reason IS NULL),
+{FINAL_SQL.split('kept AS (SELECT * FROM snip WHERE index % 7 <> 6),', 1)[1]}, {CLEANED_SQL}"""
+
+
+@query(
+    "s12_filter_on",
+    f"""{_ON} SELECT l.request_id, l.source_index, l.index, CAST(NULL AS BIGINT) AS part, l.reason IS NULL AND NOT d.gone AND c.position IS NULL AS kept,
+  CASE WHEN l.reason IS NOT NULL THEN l.reason WHEN c.position IS NOT NULL THEN 'dup' WHEN d.gone THEN 'keep_probability' END AS reason
+FROM local l LEFT JOIN decided d ON d.request_id = l.request_id AND d.source_index = l.source_index AND d.index = l.index
+LEFT JOIN covered c ON c.request_id = d.request_id AND c.source_index = d.source_index AND c.position = d.position""",
+)
+def filter_on(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mode on with recorded answers: a row a snippet."""
+    out = whole.run(B.marked_sources(spark, sf_dir), "on", lambda tiles, asked: _answers(tiles)).snippets
+    return out.select("request_id", "source_index", "index", "part", "kept", "reason")
+
+
 @query("d02_filter_off", f"{_OFF} SELECT request_id, source_index, index, reason IS NULL AS kept, reason FROM judged")
 def filter_off(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = whole.run(B.marked_sources(spark, sf_dir), "off").snippets

@@ -104,7 +104,19 @@ def title_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("f08_boilerplate_strip")
+@query(
+    "f08_boilerplate_strip",
+    f"""WITH {_M}, l AS (SELECT request_id, source_index, title, unnest(snippets) AS x, unnest(range(0, len(snippets))) AS i FROM src),
+k AS (SELECT *, {B.sql_line_key('x')} AS key, {B.sql_title('x')} AS a, {B.sql_title('title')} AS b FROM l),
+alive AS (SELECT *, substr(b, length(a) + 1) AS rest FROM k WHERE NOT ({_PREFIX})),
+hits AS (SELECT *, a <> '' AND b <> '' AND (a = b OR (starts_with(b, a) AND regexp_matches(rest, {B.quoted(T.BYLINE)})
+  AND {B.sql_units('rest')} <= 40 AND {B.sql_units('rest')} < {B.sql_units('a')} AND {B.sql_units('a')} >= 20)) AS hit FROM alive),
+nth AS (SELECT *, row_number() OVER (PARTITION BY request_id, source_index, hit ORDER BY i) AS r FROM hits),
+rest AS (SELECT request_id, source_index, string_agg(x, chr(10) ORDER BY i) AS t FROM nth WHERE NOT hit OR r = 1 GROUP BY ALL),
+out AS (SELECT request_id, source_index, title, array_to_string(snippets, chr(10)) AS raw, coalesce({B.sql_trim('t')}, '') AS t FROM src LEFT JOIN rest USING (request_id, source_index)),
+judged AS (SELECT *, CASE WHEN {B.sql_trim('raw')} = '' THEN 'nav' WHEN t = '' OR {B.sql_title('t')} = {B.sql_title('title')} THEN 'boilerplate' END AS reason FROM out)
+SELECT request_id, source_index, reason IS NULL AS kept, reason, sha256(CASE WHEN reason IS NULL THEN t ELSE raw END) AS text_sha256 FROM judged""",
+)
 def boilerplate_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts as one snippet each: prefix lines and title repeats go."""
     whole = B.marked_sources(spark, sf_dir).withColumn("snippets", F.array(F.array_join("snippets", "\n")))
@@ -159,7 +171,7 @@ def empty_takeaways(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter(T.is_empty_takeaways(F.expr(_TAKE.replace("chr(10)", "'\n'")), F.expr(_PAGE))).select("request_id", "source_index", "index")
 
 
-_COVER_SQL = rf"""prose AS MATERIALIZED (
+COVER_SQL = rf"""prose AS MATERIALIZED (
   SELECT request_id, source_index, index AS position, {B.sql_trim(f"regexp_replace(text, '[{T.WS}]+', ' ', 'g')")} AS t FROM snip),
 long AS MATERIALIZED (SELECT *, {B.sql_units('t')} AS u FROM prose WHERE {B.sql_units('t')} >= 40),
 held AS MATERIALIZED (
@@ -174,7 +186,7 @@ covered AS (
 
 @query(
     "j06_w03_o03_same_source_coverage",
-    f"WITH {_S}, {_SNIP}, {_COVER_SQL} SELECT request_id, source_index, position, covered_by FROM covered",
+    f"WITH {_S}, {_SNIP}, {COVER_SQL} SELECT request_id, source_index, position, covered_by FROM covered",
 )
 def same_source_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = without_code(work_table.snippet_rows(B.sources(spark, sf_dir)))
@@ -183,7 +195,7 @@ def same_source_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "flagship",
-    f"""WITH {_M}, {_SNIP}, {_COVER_SQL.replace('FROM snip)', f"FROM snip WHERE {B.sql_trim('text')} <> '')", 1)},
+    f"""WITH {_M}, {_SNIP}, {COVER_SQL.replace('FROM snip)', f"FROM snip WHERE {B.sql_trim('text')} <> '')", 1)},
 alive AS (
   SELECT s.request_id, s.source_index, count(*) AS n, CAST(sum({B.sql_units('text')}) AS BIGINT) AS c
   FROM snip s LEFT JOIN covered c ON c.request_id = s.request_id AND c.source_index = s.source_index AND c.position = s.index
