@@ -23,32 +23,36 @@ import tempfile
 import unicodedata
 import uuid
 from array import array
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chaffsieve.llm._common import slices, texts
 
-#: Words in the lexicon; it is what is broadcast, at most a few MB.
-LEXICON_WORDS = 1 << 16
+#: Words in the lexicon; it is what is broadcast, about 6 MB.
+LEXICON_WORDS = 1 << 17
 #: Longer words are not worth a place in it.
 LEXICON_BYTES = 48
 #: Pieces between blanks that a worker remembers.
 CACHE = 80_000
+#: Pieces that are counted at a time.
+COUNTED = 2_000_000
 _MAGIC = b"MAT1"
 #: Bits of an id, and a rank after all others.
 _ID = 20
 _MASK, _NONE = (1 << _ID) - 1, 1 << 62
 #: Fixed values of the tokenizer: its split pattern, with the Unicode blanks spelled out.
 _BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_PATTERN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_BLANK}\p{{L}}\p{{N}}]+")
+_WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_BLANK}\p{{L}}\p{{N}}]+"
+#: The same for many pieces at once, with what parts them as a match of its own.
+_PATTERN = regex.compile(rf"\n|{_WORDS}")
 #: Blanks for str.split() that are none for the tokenizer.
 _NO_BLANKS = ("\x1c", "\x1d", "\x1e", "\x1f")
 _SPLIT = regex.compile(rf"[^{_BLANK}]+")
@@ -80,7 +84,7 @@ class Bpe:
         self.first = [v[s] for s in symbols]
         self.last = [v[s + self.end] for s in symbols]
         names = {i: t for t, i in [*v.items(), *self.special.items()]}
-        self.tokens = [names.get(i, "").encode() for i in range(max(names) + 1)]
+        self.tokens = pa.array([names.get(i, "") for i in range(max(names) + 1)])
         self.mark = os.path.commonprefix(list(self.special))  # stands in every special token
         self.split = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
 
@@ -127,15 +131,19 @@ class Bpe:
                     heapq.heappush(heap, e)
         return [x for x in ids if x >= 0]
 
-    def words(self, piece: str) -> list[str]:
-        """The words of a text without special tokens."""
-        if not piece.isascii():
-            piece = unicodedata.normalize("NFC", piece).replace("Σ", "σ")
-        return _PATTERN.findall(piece.lower())
+    def words(self, pieces: list[str]) -> list[str]:
+        """The words of pieces without blanks and special tokens, with a line feed after those of each piece."""
+        text = "\n".join([*pieces, ""])
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        return _PATTERN.findall(text.lower())
 
-    def decode(self, ids: list[int]) -> bytes:
-        """The tokens with blanks between them: the tokenizer file has no decoder."""
-        return b" ".join(map(self.tokens.__getitem__, ids))
+    def decode(self, ids: list[bytes]) -> pa.Array:
+        """Texts of ids (little-endian unsigned 32-bit integers): the tokens with blanks between them, as the tokenizer
+        file has no decoder."""
+        offsets = np.concatenate([[0], np.cumsum([len(i) // 4 for i in ids])]).astype(np.int32)
+        tokens = self.tokens.take(pa.array(np.frombuffer(b"".join(ids), "<u4")))
+        return pc.binary_join(pa.ListArray.from_arrays(offsets, tokens), " ")
 
 
 class Lexicon:
@@ -151,6 +159,7 @@ class Lexicon:
             parts.append(np.frombuffer(buffer, kind, n, at))
             at += parts[-1].nbytes
         self.keys, self.target, self.output, self.final, self.offsets, self.ids = parts
+        self.bytes = memoryview(self.ids).cast("B") if ids else memoryview(b"")
 
     @staticmethod
     def compiled(entries: dict[bytes, list[int]]) -> bytes:
@@ -232,9 +241,9 @@ class Lexicon:
     def packed(self, words: list[bytes]) -> list[bytes | None]:
         """The ids of each word as bytes, None for those that are not in it."""
         rank = self.ranks(words)
-        ids = self.ids.tobytes()
+        ids = self.bytes  # slices of the map, no copy of it
         start, end = (4 * self.offsets[np.maximum(rank, 0) + k].astype(np.int64) for k in (0, 1)) if len(self.offsets) > 1 else (rank, rank)
-        return [ids[a:b] if r >= 0 else None for r, a, b in zip(rank.tolist(), start.tolist(), end.tolist(), strict=True)]
+        return [bytes(ids[a:b]) if r >= 0 else None for r, a, b in zip(rank.tolist(), start.tolist(), end.tolist(), strict=True)]
 
 
 class Encoder:
@@ -248,25 +257,35 @@ class Encoder:
 
     def _learn(self, pieces: list[str]) -> None:
         """Ids of new pieces, as bytes."""
-        special, own_words, mark = self.bpe.special, self.bpe.words, self.bpe.mark
-        parts: list[list[str]] = []
-        for piece in pieces:
-            if not special or mark not in piece:
-                parts.append(own_words(piece))
-                continue
-            own, at = [], 0
-            for m in self.bpe.split.finditer(piece):
-                own += [*own_words(piece[at : m.start()]), m.group()]
-                at = m.end()
-            parts.append(own + own_words(piece[at:]))
-        words = list({w for own in parts for w in own})
+        special, mark = self.bpe.special, self.bpe.mark
+        odd = [p for p in pieces if mark in p] if special else []
+        if odd:
+            pieces = [p for p in pieces if mark not in p]
+        flat = self.bpe.words(pieces)
+        parts = [self._parted(p) for p in odd]
+        new = set(flat).union(*parts)
+        new.discard("\n")
+        words = list(new.difference(special))
         raw = [w.encode() for w in words]
         ids = {w: struct.pack("<I", i) for w, i in special.items()}
+        merge = self.bpe.merge
         for w, r, got in zip(words, raw, self.lexicon.packed(raw), strict=True):
-            if w not in special:
-                ids[w] = array("I", self.bpe.merge(r)).tobytes() if got is None else got
-        for piece, own in zip(pieces, parts, strict=True):
-            self.young[piece] = ids[own[0]] if len(own) == 1 else b"".join([ids[w] for w in own])
+            ids[w] = array("I", merge(r)).tobytes() if got is None else got
+        young, at = self.young, 0
+        for piece in pieces:
+            end = flat.index("\n", at)
+            young[piece] = ids[flat[at]] if end == at + 1 else b"".join([ids[w] for w in flat[at:end]])
+            at = end + 1
+        for piece, own in zip(odd, parts, strict=True):
+            young[piece] = b"".join([ids[w] for w in own])
+
+    def _parted(self, piece: str) -> list[str]:
+        """The words and special tokens of a piece."""
+        own, at = [], 0
+        for m in self.bpe.split.finditer(piece):
+            own += [*self.bpe.words([piece[at : m.start()]])[:-1], m.group()]
+            at = m.end()
+        return own + self.bpe.words([piece[at:]])[:-1]
 
     def encode(self, text: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -298,22 +317,25 @@ def frequent_words(docs: DataFrame, bpe: Bpe, most: int = LEXICON_WORDS) -> list
     sent = docs.sparkSession.sparkContext.broadcast(bpe)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally: Counter = Counter()
-
-        def flush() -> pa.RecordBatch:
-            words: Counter = Counter()
-            for piece, n in tally.items():
-                for w in sent.value.words(piece):
-                    words[w] += n
-            tally.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
+        held: list[pa.Array] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            tally = pa.chunked_array(held, pa.string()).value_counts()
+            held.clear()
+            flat = pa.array(sent.value.words(tally.field("values").to_pylist()), pa.string())
+            parted = pc.equal(flat, "\n").to_numpy(zero_copy_only=False)
+            # Every word counts as often as its piece.
+            n = tally.field("counts").to_numpy()[(np.cumsum(parted) - parted)[~parted]]
+            words = pa.table({"word": flat.filter(pa.array(~parted)), "n": n}).group_by("word").aggregate([("n", "sum")])
+            for batch in words.select(["word", "n_sum"]).rename_columns(["word", "n"]).to_batches(max_chunksize=1 << 15):
+                yield batch
 
         for part in slices(batches):
-            for b in part.column("body").to_pylist():
-                tally.update((b or b"").decode().split())
-            if len(tally) > 250_000:
-                yield flush()
-        yield flush()
+            held.append(pc.utf8_split_whitespace(part.column("body").cast(pa.string())).flatten())
+            if sum(map(len, held)) > COUNTED:
+                yield from flush()
+        if held:
+            yield from flush()
 
     counted = texts(docs).select("body").mapInArrow(count, "word string, n long")
     counted = counted.filter(F.octet_length("word") <= LEXICON_BYTES).groupBy("word").agg(F.sum("n").alias("n"))
@@ -360,8 +382,7 @@ def round_trip(docs: DataFrame, tokenizer: str, most: int = LEXICON_WORDS, decod
             ids = encoder.encode([None if b is None else b.decode() for b in part.column("body").to_pylist()])
             columns = [part.column("doc_id"), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())]
             if decode:
-                back = [encoder.bpe.decode(np.frombuffer(i, "<u4").tolist()) for i in ids]
-                columns.append(pa.array(back, pa.binary()).cast(pa.string()))
+                columns.append(encoder.bpe.decode(ids))
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids", "decoded"][: len(columns)])
 
     return texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids binary" + ", decoded string" * decode)
@@ -375,7 +396,7 @@ def decoded(rows: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(sent.value)
         for batch in batches:
-            back = [bpe.decode(np.frombuffer(i or b"", "<u4").tolist()) for i in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(back, pa.binary()).cast(pa.string())], names=["doc_id", "text"])
+            back = bpe.decode([i or b"" for i in batch.column("ids").to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), back], names=["doc_id", "text"])
 
     return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
