@@ -58,7 +58,7 @@ def state(requests: DataFrame, sources: DataFrame, tiles: DataFrame) -> DataFram
         "source_index",
         F.struct(
             D.source_id(F.col("source_index")).alias("id"), "url", "title", F.transform("t", lambda x: x["text"]).alias("snippets"),
-            dates.page_date(age).alias("brave_page_date"),
+            dates.page_date(age).alias("page_date"),
         ).alias("body"),
     )
     per = one.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("source_index", "body"))).alias("s"))

@@ -55,30 +55,31 @@ def _plain(sources: DataFrame) -> DataFrame:
 def _stateful(sources: DataFrame, platforms: bool) -> DataFrame:
     kind = dict(sources.dtypes)["request_id"]
 
+    action = pa.struct([("cleaner", pa.string()), ("rule", pa.string()), ("line", pa.int32())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = batch.to_pydict()
-            out: list[dict] = []
-            for k in range(batch.num_rows):
-                url, title = data["url"][k], data["title"][k]
-                for s in L.local_rules(url or "", title or "", data["snippets"][k], platforms):
-                    out.append(
-                        {
-                            "request_id": data["request_id"][k], "source_index": data["source_index"][k], "url": url,
-                            "title": title, "index": s.index, "part": s.part, "text": s.text, "kept": s.kept,
-                            "reason": s.reason, "route": s.route,
-                            "actions": [{"cleaner": c, "rule": r, "line": n} for c, r, n in s.actions],
-                        }
-                    )
-            action = pa.struct([("cleaner", pa.string()), ("rule", pa.string()), ("line", pa.int32())])
-            schema = pa.schema(
+            at, out = [], []
+            rows = zip(*(batch.column(c).to_pylist() for c in ("url", "title", "snippets")), strict=True)
+            for k, (url, title, snippets) in enumerate(rows):
+                own = L.local_rules(url or "", title or "", snippets, platforms)
+                at += [k] * len(own)
+                out += own
+            source = [batch.column(c).take(pa.array(at, pa.int64())) for c in ("request_id", "source_index", "url", "title")]
+            actions = [[dict(zip(("cleaner", "rule", "line"), a, strict=True)) for a in s.actions] for s in out]
+            yield pa.RecordBatch.from_arrays(
                 [
-                    ("request_id", batch.schema.field("request_id").type), ("source_index", pa.int64()), ("url", pa.string()),
-                    ("title", pa.string()), ("index", pa.int64()), ("part", pa.int64()), ("text", pa.string()),
-                    ("kept", pa.bool_()), ("reason", pa.string()), ("route", pa.string()), ("actions", pa.list_(action)),
-                ]
-            )
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
+                    *source,
+                    pa.array([s.index for s in out], pa.int64()),
+                    pa.array([s.part for s in out], pa.int64()),
+                    pa.array([s.text for s in out], pa.string()),
+                    pa.array([s.kept for s in out], pa.bool_()),
+                    pa.array([s.reason for s in out], pa.string()),
+                    pa.array([s.route for s in out], pa.string()),
+                    pa.array(actions, pa.list_(action)),
+                ],
+                names=["request_id", "source_index", "url", "title", "index", "part", "text", "kept", "reason", "route", "actions"],
+            )
 
     rows = sources.select("request_id", F.col("source_index").cast("long").alias("source_index"), "url", "title", "snippets")
     return rows.mapInArrow(

@@ -95,7 +95,7 @@ def request_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     "d03_s12_classifier_state",
     f"""{_TILES}, one AS (
   SELECT request_id, source_index, '"s' || source_index || '":{{"id":"s' || source_index || '","url":' || to_json(any_value(url)) || ',"title":' || to_json(any_value(title)) ||
-    ',"snippets":' || to_json(list(text ORDER BY position)) || ',"brave_page_date":"2024-02-29"}}' AS body FROM tiles GROUP BY request_id, source_index)
+    ',"snippets":' || to_json(list(text ORDER BY position)) || ',"page_date":"2024-02-29"}}' AS body FROM tiles GROUP BY request_id, source_index)
 SELECT request_id, '{{"query":"q' || request_id || '","intent":"find it","sources":{{' || string_agg(body, ',' ORDER BY source_index) ||
   '}},"retrieval_time":"2024-05-01T10:00:00Z"}}' AS state FROM one GROUP BY request_id""",
 )
