@@ -128,7 +128,14 @@ def boilerplate_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CODE = "concat(text, '\n```\nx = 1\n~~~\n```\n> said\nmore of it\n\n    indented\n', if(doc_id % 2 = 0, 'a `b\nc` d', 'a `b` c'))"
 
 
-@query("f09_f10_f12_line_regions")
+# The lines of the documents open no region; those of the added ones are worked out by hand: a fence of four lines, a quotation
+# that goes on for a line, a blank line, indented code, and a code span that does or does not cross a line's end.
+@query(
+    "f09_f10_f12_line_regions",
+    """WITH n AS (SELECT doc_id, repeat('0', len(string_split(text, chr(10)))) AS z, doc_id % 2 = 0 AS crossed FROM documents)
+SELECT doc_id, coalesce(z || '11110001' || CASE WHEN crossed THEN '11' ELSE '0' END, '0') AS code,
+  coalesce(z || '11111101' || CASE WHEN crossed THEN '11' ELSE '0' END, '0') AS quoted, z IS NOT NULL AS has_code FROM n""",
+)
 def line_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Code and quotation flags of all lines, as strings of 0 and 1."""
     docs = B.table(spark, sf_dir, "documents").select("doc_id", F.expr(_CODE).alias("text"))
@@ -252,7 +259,38 @@ def _site_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("d01_d02_u01_local_rules")
+# What the rules make of each page's first snippet, worked out by hand: text, cleaner actions, route and outcome.
+_FIRST = "string_split(text, chr(10))[1]"
+_NL = "chr(10)"
+_MADE = {
+    0: (f"{_FIRST} || {_NL} || '# About'", "github:repo_nav:2"),
+    1: (f"{_FIRST} || {_NL} || {_NL} || 'acme/tool:fix'", "github:pr_loading_placeholder:3,github:pr_loading_placeholder:5,github:copy_branch_button:6,github:pr_uh_oh:2"),
+    2: (f"{_FIRST} || {_NL} || {_NL} || '> Choose a tag to compare'", "github:tag_compare:2,github:tag_compare:4"),
+    3: (f"{_FIRST} || {_NL} || 'fix it abcdef0'", "github:compare_commit_menu:2"),
+    4: (f"{_FIRST} || {_NL}", "x:related_trending_heading:3,x:show_more_button:2"),
+    5: (f"{_FIRST} || {_NL} || '```' || {_NL} || 'Show more' || {_NL} || '```'", "x:show_more_button:5"),
+    7: (B.quoted(_PAGE_LINES[7]), ""),
+    8: (B.quoted(_PAGE_LINES[8]), ""),
+    9: (f"{_FIRST} || {_NL} || 'Share' || {_NL}", ""),
+}
+_BY_PAGE = lambda at: "CASE doc_id % 10 " + " ".join(f"WHEN {k} THEN {v[at] if at == 0 else B.quoted(v[at])}" for k, v in _MADE.items()) + " END"
+_RULED = f"""WITH d AS (SELECT * FROM documents WHERE text IS NOT NULL),
+first AS (SELECT doc_id, 0 AS index, CAST(NULL AS BIGINT) AS part, {_BY_PAGE(0)} AS text, {_BY_PAGE(1)} AS actions,
+  CASE doc_id % 10 WHEN 7 THEN 'dropped_meta' WHEN 8 THEN 'kept_raw' ELSE 'not_json' END AS route,
+  CASE doc_id % 10 WHEN 4 THEN 'boilerplate' WHEN 7 THEN 'jsonld_meta' WHEN 9 THEN 'boilerplate' END AS reason FROM d WHERE doc_id % 10 <> 6
+  UNION ALL SELECT doc_id, 0, 0, 'body text', '', 'converted', NULL FROM d WHERE doc_id % 10 = 6
+  UNION ALL SELECT doc_id, 0, 1, 'Other', '', NULL, NULL FROM d WHERE doc_id % 10 = 6),
+line AS (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS index, unnest(string_split(text, chr(10))) AS x, {_FIRST} AS title FROM d),
+keyed AS (SELECT *, {B.sql_line_key('x')} AS key FROM line),
+judged AS (SELECT *, CASE WHEN {B.sql_trim('x')} = '' THEN 'nav' WHEN {_PREFIX} OR {B.sql_title('x')} = {B.sql_title('title')} THEN 'boilerplate' END AS reason FROM keyed),
+ruled AS (SELECT * FROM first UNION ALL
+  SELECT doc_id, index, NULL, CASE WHEN reason IS NULL THEN {B.sql_trim('x')} ELSE x END, '', 'not_json', reason FROM judged)"""
+
+
+@query(
+    "d01_d02_u01_local_rules",
+    f"""{_RULED} SELECT doc_id // 5 AS request_id, doc_id % 5 AS source_index, index, part, reason IS NULL AS kept, reason, route, sha256(text) AS text_sha256, actions FROM ruled""",
+)
 def local_rule_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All cleaners (F15-F33, J07, J08, W04-W08) on pages of every kind: a row for each snippet or part."""
     return local_rules.applied(_site_sources(spark, sf_dir)).select(
@@ -261,7 +299,16 @@ def local_rule_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("a03_local_counters")
+_ACTS = lambda name: f"CAST(sum(len(list_filter(string_split(actions, ','), lambda a: starts_with(a, '{name}:')))) AS BIGINT)"
+
+
+@query(
+    "a03_local_counters",
+    f"""{_RULED} SELECT doc_id // 5 AS request_id, count(*) FILTER (WHERE route = 'converted') AS jsonld_converted,
+  count(*) FILTER (WHERE route = 'dropped_meta') AS jsonld_dropped, count(*) FILTER (WHERE route = 'kept_raw') AS jsonld_kept_raw,
+  count(*) FILTER (WHERE reason IN ('nav', 'boilerplate')) AS snippets_prefiltered, count(*) FILTER (WHERE reason = 'dup') AS dup_removed,
+  {_ACTS('github')} AS github_cleanup_actions, {_ACTS('x')} AS x_cleanup_actions, {_ACTS('devto')} AS devto_cleanup_actions FROM ruled GROUP BY ALL""",
+)
 def local_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return local_rules.counters(local_rules.applied(_site_sources(spark, sf_dir)))
 
