@@ -53,3 +53,27 @@ def test_last_stage_decodes(spark):
 
 def test_run_equals_the_stages(spark):
     assert corpus_pipeline.run(spark, SMALL).count() > 100
+
+
+def test_stages_on_odd_rows(spark):
+    """Null and empty texts, null and repeated ids, columns that clash, and no rows at all."""
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(120)]
+    plain = " ".join(words[:60]) + "."
+    rows = [(1, plain), (1, plain), (2, plain), (3, None), (4, ""), (None, plain), (None, None), (5, " ".join(words[50:])), (6, "a\nb\nc\nd"), (7, "a\nb\nc\ne")]
+    docs = spark.createDataFrame([(i, t, "x", "x", None if t is None else len(t), "x", 1) for i, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long, kept string, removed int")
+    stages = dict(corpus_pipeline.STAGES)
+
+    def after(name, df=docs):
+        out = stages[name](spark, df, SMALL)
+        assert name == "bpe" or out.columns == df.columns
+        return sorted(((r.doc_id, r.decoded if name == "bpe" else r.text) for r in out.collect()), key=str)
+
+    every = sorted(rows, key=str)
+    assert all(t for _, t in after("quality_rules"))
+    assert after("line_dedup") == sorted([(7, "e") if r == rows[-1] else r for r in rows], key=str)
+    assert after("near_dedup") == sorted([r for r in rows if r[0] != 2], key=str)
+    assert after("decontamination") == every
+    assert len(after("bpe")) == len(rows) and {t for i, t in after("bpe") if i in (3, 4)} == {""}
+    for name in stages:
+        assert after(name, docs.limit(0)) == []
