@@ -27,4 +27,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from chaffsieve.plans import decision_queries, pipeline_queries, request_queries, text_queries, vertical_queries  # noqa: F401
+    from chaffsieve.plans import decision_queries, page_cases, pipeline_queries, request_queries, text_queries, vertical_queries  # noqa: F401
