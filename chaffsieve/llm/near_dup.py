@@ -13,7 +13,7 @@
    similar to each other and not to the smallest: all pairs of such a list are compared by their sketches, in tiles.
 5. What hangs together after that is a neighbourhood. Inside each neighbourhood the exact Jaccard similarity of the full
    sets decides, as matrix products of tiles of at most TILE documents; a large neighbourhood is cut into pairs of tiles,
-   so no task gets more than two tiles. Each pair of tiles returns a spanning forest of its links, and the components of
+   so no task gets more than two tiles. Each pair of tiles returns the components of its links, and the components of
    these are the groups.
 
 Defined cases: null, empty and blank texts have no shingles, link with nothing and are their own component. Texts with
@@ -146,7 +146,7 @@ def _maybe_alike(low: list[np.ndarray], n: np.ndarray, threshold: tuple[int, int
 
 
 def _forest(ids: np.ndarray, linked: np.ndarray, sides: np.ndarray | None) -> list:
-    """A spanning forest of the linked pairs.
+    """The components of the linked pairs, each as pairs of its smallest id and every other one.
 
     sides: 0 or 1 for each document; with both present, only pairs across are looked at.
     """
@@ -154,16 +154,15 @@ def _forest(ids: np.ndarray, linked: np.ndarray, sides: np.ndarray | None) -> li
         linked &= sides[:, None] != sides[None, :]
     edges, seen = [], np.zeros(len(ids), bool)
     linked |= linked.T
-    for start in range(len(ids)):
+    for start in np.argsort(ids, kind="stable").tolist():
         if seen[start]:
             continue
         seen[start], todo = True, [start]
         while todo:
-            i = todo.pop()
-            new = np.flatnonzero(linked[i] & ~seen).tolist()
+            new = np.flatnonzero(linked[todo.pop()] & ~seen).tolist()
             seen[new] = True
             todo += new
-            edges += [(int(ids[i]), int(ids[j])) for j in new]
+            edges += [(int(ids[start]), int(ids[j])) for j in new]
     return edges
 
 
