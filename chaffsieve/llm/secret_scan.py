@@ -7,11 +7,12 @@ The battery looks at runs of 20 and more token characters. The encoding of each
 letters and digits, base64 in either alphabet), and three tests are taken over its symbols, each with the p-value of an
 ordinary token (a word, a name, a number, a path) looking at least as random as this one:
   * chi-squared uniformity: the statistic is a function of the number of pairs of equal symbols. In ordinary tokens these
-    are at least the share that the encoding's row says; fewer are bounded by the Chernoff bound of a Poisson;
+    are at least the share that the encoding's row says; fewer have the lower tail of a Poisson;
   * runs of one character class (lower, upper, digit, other): in ordinary tokens the class changes between neighbours with
-    at most the share that the row says; more are bounded by the Chernoff bound of a binomial;
+    at most the share that the row says; more have the upper tail of a binomial;
   * serial correlation of the symbol codes at lag one, about the middle of the alphabet: at least SERIAL in sequences,
-    repeated and sorted symbols; less by Fisher's z and a normal tail bound.
+    repeated and sorted symbols; less has a normal tail, by Fisher's z.
+Tails are summed, or bounded by Chernoff's bound for tokens so long that the sum would be far below any cut.
 A token is random only if it is so in all three, so the p-value of the battery is the largest of the three (an
 intersection-union test). Long tokens have more power than short ones: Benjamini-Hochberg control at level FDR is taken
 within length classes, over the tokens of all documents, from a histogram of p-values whose size is fixed.
@@ -23,6 +24,8 @@ paths with underscores) and of padding only are never random.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -52,6 +55,8 @@ ENCODINGS = (
 )
 #: Least lag-one correlation of sequences.
 SERIAL = 0.7
+#: Most expected pairs and steps for which the tail is summed; beyond, it is far from any cut, and its bound does.
+EXACT_PAIRS, EXACT_STEPS = 500, 1000
 #: Lower ends of the length classes.
 LENGTHS = (20, 32, 48, 96)
 BINS, BIN_WIDTH = 400, 0.25
@@ -118,26 +123,31 @@ def _tested(tokens: DataFrame) -> DataFrame:
             (length(symbols) - length(replace(symbols, c, ''))) * (length(symbols) - length(replace(symbols, c, '')) - 1) / 2D))"""
         ),
     )
-    few = F.col("n") * (F.col("n") - 1) / 2 * F.col("equal")
-    uniform = F.when(
-        F.col("pairs") < few,
-        few - F.col("pairs") + F.when(F.col("pairs") > 0, F.col("pairs") * F.log(F.col("pairs") / few)).otherwise(F.lit(0.0)),
-    )
+    t = t.withColumn("few", F.col("n") * (F.col("n") - 1) / 2 * F.col("equal"))
     # Each maximal run of a class becomes one letter.
     runs = F.col("symbols")
     for pattern, letter in (("[a-z]+", "\u0001"), ("[A-Z]+", "\u0002"), ("[0-9]+", "\u0003"), ("[+/_-]+", "\u0004")):
         runs = F.regexp_replace(runs, pattern, letter)
-    steps = F.greatest(F.col("n") - 1, F.lit(1.0))
-    share, usual = (F.length(runs) - 1) / steps, F.col("changes")
-    inner = F.least(F.greatest(share, F.lit(1e-12)), F.lit(1 - 1e-12))
-    mixed = F.when(share > usual, steps * (inner * F.log(inner / usual) + (1 - inner) * F.log((1 - inner) / (1 - usual))))
+    t = t.withColumns({"steps": F.greatest(F.col("n") - 1, F.lit(1.0)), "steps_changed": F.length(runs) - 1.0})
+    poisson = """-ln(if(pairs < 1, exp(-few), aggregate(sequence(1, cast(pairs as int)), named_struct('t', exp(-few), 's', exp(-few)),
+        (a, i) -> named_struct('t', a.t * few / i, 's', a.s + a.t * few / i), a -> a.s)))"""
+    bound = "few - pairs + if(pairs > 0, pairs * ln(pairs / few), 0D)"
+    uniform = F.expr(f"if(pairs < few, if(few <= {EXACT_PAIRS}, {poisson}, {bound}), 0D)")
+    binomial = """-ln(aggregate(sequence(1, cast(steps as int)), named_struct('t', power(1 - changes, steps), 's', 0D),
+        (a, i) -> named_struct('t', a.t * (steps - i + 1) / i * changes / (1 - changes),
+          's', a.s + if(i >= steps_changed, a.t * (steps - i + 1) / i * changes / (1 - changes), 0D)), a -> a.s))"""
+    part = "least(steps_changed / steps, 1 - 1e-12D)"
+    bound = f"steps * ({part} * ln({part} / changes) + (1 - {part}) * ln((1 - {part}) / (1 - changes)))"
+    mixed = F.expr(f"if(steps_changed > steps * changes, if(steps <= {EXACT_STEPS}, {binomial}, {bound}), 0D)")
     codes = """if(n > 3, transform(sequence(1, cast(n as int)), i ->
         cast(instr(alphabet, substr(symbols, i, 1)) as double) - (length(alphabet) + 1) / 2D), cast(array() as array<double>))"""
     t = t.withColumn("codes", F.expr(codes)).withColumn("energy", F.expr("aggregate(codes, 0D, (a, c) -> a + c * c)"))
     lag = F.expr("if(n > 3, aggregate(sequence(1, size(codes) - 1), 0D, (a, i) -> a + codes[i] * codes[i - 1]), 0D)")
     size = F.least(F.abs(lag / F.col("energy")), F.lit(1 - 1e-9))
     z = (F.atanh(F.lit(SERIAL)) - F.atanh(size)) * F.sqrt(F.col("n") - 3)
-    apart = F.when((F.col("n") > 3) & (F.col("energy") > 0), F.when(z > 0, z * z / 2 + F.log(F.lit(2.0))))
+    # Of a half and of what is left of the density divided by z, the smaller bounds the tail.
+    tail = z * z / 2 + F.greatest(F.log(F.lit(2.0)), F.log(z * F.sqrt(F.lit(2 * math.pi))))
+    apart = F.when((F.col("n") > 3) & (F.col("energy") > 0), F.when(z > 0, tail))
     nats = F.least(*(F.coalesce(test, F.lit(0.0)) for test in (uniform, mixed, apart)))
     return t.withColumn("evidence", nats / F.log(F.lit(10.0)))
 

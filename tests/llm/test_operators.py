@@ -364,16 +364,24 @@ def brute_evidence(token):
     if n < 4:
         return 0.0
     pairs, usual = sum(s.count(c) * (s.count(c) - 1) / 2 for c in set(s)), n * (n - 1) / 2 * equal
-    uniform = usual - pairs + (pairs * math.log(pairs / usual) if pairs else 0) if pairs < usual else 0
+    uniform = mixed = 0
+    if pairs < usual <= secret_scan.EXACT_PAIRS:
+        uniform = -math.log(math.fsum(math.exp(k * math.log(usual) - usual - math.lgamma(k + 1)) for k in range(int(pairs) + 1)))
+    elif pairs < usual:
+        uniform = usual - pairs + (pairs * math.log(pairs / usual) if pairs else 0)
     kind = ["a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "-" for c in s]
-    share = sum(a != b for a, b in zip(kind, kind[1:])) / (n - 1)  # noqa: B905
-    p = min(max(share, 1e-12), 1 - 1e-12)
-    mixed = (n - 1) * (p * math.log(p / changes) + (1 - p) * math.log((1 - p) / (1 - changes))) if share > changes else 0
+    changed = sum(a != b for a, b in zip(kind, kind[1:]))  # noqa: B905
+    if changed > (n - 1) * changes:
+        q = min(changed / (n - 1), 1 - 1e-12)
+        mixed = (n - 1) * (q * math.log(q / changes) + (1 - q) * math.log((1 - q) / (1 - changes)))
+        if n - 1 <= secret_scan.EXACT_STEPS:
+            mixed = -math.log(math.fsum(math.comb(n - 1, k) * changes**k * (1 - changes) ** (n - 1 - k) for k in range(changed, n)))
     codes = [alphabet.index(c) + 1 - (len(alphabet) + 1) / 2 for c in s]
     energy = sum(c * c for c in codes)
     r = min(abs(sum(a * b for a, b in zip(codes, codes[1:]))) / energy, 1 - 1e-9)  # noqa: B905
     z = (math.atanh(secret_scan.SERIAL) - math.atanh(r)) * math.sqrt(n - 3)
-    return min(uniform, mixed, z * z / 2 + math.log(2) if z > 0 else 0) / math.log(10)
+    apart = z * z / 2 + max(math.log(2), math.log(z * math.sqrt(2 * math.pi))) if z > 0 else 0
+    return min(uniform, mixed, apart) / math.log(10)
 
 
 def brute_random(texts):
