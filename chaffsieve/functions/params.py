@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from chaffsieve.functions.text import WS, trimmed
+from chaffsieve.functions.text import collapsed, trimmed
 
 #: Floors and defaults of the numeric parameters.
 FLOORS = {"count": 1, "maximum_number_of_urls": 1, "maximum_number_of_tokens": 1024, "maximum_number_of_tokens_per_url": 512}
@@ -47,7 +47,7 @@ def filled(name: str, c: Column) -> Column:
 def is_query(c: Column) -> Column:
     """1 to 400 characters after trimming, of at most 50 words."""
     q = trimmed(c)
-    return F.coalesce(F.length(q).between(1, 400) & (F.size(F.split(q, rf"[{WS}]+")) <= 50), F.lit(False))
+    return F.coalesce(F.length(q).between(1, 400) & (F.size(F.split(collapsed(q), " ")) <= 50), F.lit(False))
 
 
 def is_freshness(c: Column) -> Column:

@@ -36,7 +36,13 @@ BYLINE = rf"^[{WS}]*(by|via|from)([^A-Za-z0-9_]|\z)|^[{WS}]*[-–—|·]"
 
 
 def trimmed(c: Column) -> Column:
-    return F.regexp_replace(c, TRIM, "")
+    return F.btrim(c, F.lit(WS_CHARS))
+
+
+def collapsed(c: Column) -> Column:
+    """Every run of blanks as one blank. Patterns with the long class of blanks cost far more than a translation."""
+    plain = F.translate(c, WS_CHARS, " " * len(WS_CHARS))
+    return F.when(F.contains(plain, F.lit("  ")), F.regexp_replace(plain, "  +", " ")).otherwise(plain)
 
 
 def utf16_length(c: Column) -> Column:
@@ -74,7 +80,7 @@ def prefix_pattern(keys: tuple[str, ...] = PREFIX_KEYS) -> str:
 
 def normalized_title(c: Column) -> Column:
     bare = trimmed(F.regexp_replace(trimmed(c), "^[#*-]+", ""))
-    return F.lower(F.regexp_replace(bare, rf"[{WS}]+", " "))
+    return F.lower(collapsed(bare))
 
 
 def is_title_only(c: Column, title: Column) -> Column:
@@ -110,7 +116,7 @@ def normalized_prose(c: Column) -> Column:
     # ECMAScript's \w and dot: no line end inside the bold span.
     bold = rf"(?<![A-Za-z0-9_])\*\*([^{WS}](?:[^\n\r  ]*?[^{WS}])?)\*\*(?![A-Za-z0-9_])"
     plain = F.when(F.contains(bare, F.lit("**")), F.regexp_replace(bare, bold, "$1")).otherwise(bare)
-    return trimmed(F.regexp_replace(plain, rf"[{WS}]+", " "))
+    return trimmed(collapsed(plain))
 
 
 def lines_of(c: Column) -> Column:

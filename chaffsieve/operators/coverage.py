@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chaffsieve.functions import text as T
+from chaffsieve.functions.lines import units
 
 LEAST_UNITS = 40
 #: Snippets of a source that are looked at as one row.
@@ -32,7 +33,7 @@ def covered(snippets: DataFrame) -> DataFrame:
     code must have been left out."""
     rows = snippets.select(*KEY, "position", "text")
     large = rows.groupBy(*KEY).agg(F.count("*").alias("n")).filter(F.col("n") > MANY).select(*KEY)
-    few = _gathered(_prose(rows.join(large, KEY, "left_anti")))
+    few = _gathered(rows.join(large, KEY, "left_anti"))
     return few.unionByName(_joined(_prose(rows.join(large, KEY, "left_semi"))))
 
 
@@ -66,20 +67,23 @@ def containers(texts: list[str]) -> list[tuple[int, int]]:
     return out
 
 
-def _gathered(prose: DataFrame) -> DataFrame:
-    order = F.array_sort(F.collect_list(F.struct((-F.col("units")).alias("u"), "position", "prose")))
-    sources = prose.groupBy(*KEY).agg(order.alias("s")).filter("size(s) > 1")
-    sources = sources.select(*KEY, F.transform("s", lambda x: x["position"]).alias("at"), F.transform("s", lambda x: x["prose"]).alias("texts"))
-    kinds = dict(prose.dtypes)
+def _gathered(rows: DataFrame) -> DataFrame:
+    sources = rows.groupBy(*KEY).agg(F.collect_list(F.struct(F.col("position").cast("long").alias("position"), "text")).alias("s"))
+    sources = sources.filter("size(s) > 1").select(
+        *KEY, F.transform("s", lambda x: x["position"]).alias("at"), F.transform("s", lambda x: T.normalized_prose(x["text"])).alias("prose")
+    )
+    kinds = dict(rows.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, inner, outer = [], [], []
-            for k, (at, texts) in enumerate(zip(batch.column("at").to_pylist(), batch.column("texts").to_pylist(), strict=True)):
-                for i, j in containers(texts):
+            for k, (at, prose) in enumerate(zip(batch.column("at").to_pylist(), batch.column("prose").to_pylist(), strict=True)):
+                ranked = sorted((-units(t), p, t) for p, t in zip(at, prose, strict=True) if t is not None)
+                ranked = [x for x in ranked if -x[0] >= LEAST_UNITS]
+                for i, j in containers([t for _, _, t in ranked]):
                     row.append(k)
-                    inner.append(at[i])
-                    outer.append(at[j])
+                    inner.append(ranked[i][1])
+                    outer.append(ranked[j][1])
             own = [batch.column(c).take(pa.array(row, pa.int64())) for c in KEY]
             yield pa.RecordBatch.from_arrays([*own, pa.array(inner, pa.int64()), pa.array(outer, pa.int64())], names=[*KEY, "position", "covered_by"])
 

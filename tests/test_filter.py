@@ -122,6 +122,19 @@ def test_decisions_at_the_edges(spark):
     assert [r.s for r in got] == [True, True, True, False, True, False]
 
 
+def test_blanks_are_all_blanks(spark):
+    import random
+
+    rng = random.Random(4)
+    signs = [*T.WS_CHARS, "a", "b", "é", "😀", "\x1c", "\x85", "\u200b", "\u180e"]
+    texts = ["".join(rng.choices(signs, k=rng.randint(0, 12))) for _ in range(400)] + [*T.WS_CHARS, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    t = F.col("t")
+    for r in df.select("i", T.trimmed(t).alias("a"), T.collapsed(t).alias("b"), T.is_blank(t).alias("c"), T.normalized_title(t).alias("d")).collect():
+        own = texts[r.i]
+        assert (r.a, r.b, r.c, r.d) == (L.trim(own), L._BLANKS.sub(" ", own), not L.trim(own), L.title_key(own))
+
+
 def test_labels_and_units(spark):
     df = spark.createDataFrame([(1, "a😀"), (2, "é"), (3, "")], "n int, s string")
     got = df.select(D.option_labels(F.col("n")).alias("l"), T.utf16_length(F.col("s")).alias("u")).collect()
