@@ -138,7 +138,8 @@ def _tested(tokens: DataFrame) -> DataFrame:
           's', a.s + if(i >= steps_changed, a.t * (steps - i + 1) / i * changes / (1 - changes), 0D)), a -> a.s))"""
     part = "least(steps_changed / steps, 1 - 1e-12D)"
     bound = f"steps * ({part} * ln({part} / changes) + (1 - {part}) * ln((1 - {part}) / (1 - changes)))"
-    mixed = F.expr(f"if(steps_changed > steps * changes, if(steps <= {EXACT_STEPS}, {binomial}, {bound}), 0D)")
+    # A sum too small for a double has no logarithm; the bound stands for it.
+    mixed = F.expr(f"if(steps_changed > steps * changes, coalesce(if(steps <= {EXACT_STEPS}, {binomial}, NULL), {bound}), 0D)")
     codes = """if(n > 3, transform(sequence(1, cast(n as int)), i ->
         cast(instr(alphabet, substr(symbols, i, 1)) as double) - (length(alphabet) + 1) / 2D), cast(array() as array<double>))"""
     t = t.withColumn("codes", F.expr(codes)).withColumn("energy", F.expr("aggregate(codes, 0D, (a, c) -> a + c * c)"))

@@ -374,8 +374,9 @@ def brute_evidence(token):
     if changed > (n - 1) * changes:
         q = min(changed / (n - 1), 1 - 1e-12)
         mixed = (n - 1) * (q * math.log(q / changes) + (1 - q) * math.log((1 - q) / (1 - changes)))
-        if n - 1 <= secret_scan.EXACT_STEPS:
-            mixed = -math.log(math.fsum(math.comb(n - 1, k) * changes**k * (1 - changes) ** (n - 1 - k) for k in range(changed, n)))
+        tail = math.fsum(math.exp(math.log(math.comb(n - 1, k)) + k * math.log(changes) + (n - 1 - k) * math.log(1 - changes)) for k in range(changed, n))
+        if n - 1 <= secret_scan.EXACT_STEPS and tail:
+            mixed = -math.log(tail)
     codes = [alphabet.index(c) + 1 - (len(alphabet) + 1) / 2 for c in s]
     energy = sum(c * c for c in codes)
     r = min(abs(sum(a * b for a, b in zip(codes, codes[1:]))) / energy, 1 - 1e-9)  # noqa: B905
@@ -410,7 +411,7 @@ def random_texts(rng):
              "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "a/b_c+d-e=" * 4, "20240102030405060708091011121314"]
     out = []
     for _ in range(250):
-        words = [rng.choice(plain) if rng.random() < 0.5 else "".join(rng.choices(rng.choice(signs), k=rng.choice([19, 20, 24, 32, 40, 64, 120]))) for _ in range(rng.randint(0, 3))]
+        words = [rng.choice(plain) if rng.random() < 0.5 else "".join(rng.choices(rng.choice(signs), k=rng.choice([19, 20, 24, 32, 40, 64, 120, 900]))) for _ in range(rng.randint(0, 3))]
         out.append(" é ".join(words))
     return out + ["password = " + out[1], None, ""]
 
