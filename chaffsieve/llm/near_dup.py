@@ -9,12 +9,12 @@
    2e-10.
 3. Each list links its members to its smallest member: lists of the same members count once, and give one row a member.
    Links of very different sizes, or whose union-sketch estimate of the similarity is too low to matter, go.
-4. A list of which no link went has all its members in one neighbourhood. Where one went, two others may still be
-   similar to each other and not to the smallest: all pairs of such a list are compared by their sketches, in tiles.
-5. What hangs together after that is a neighbourhood. Inside each neighbourhood the exact Jaccard similarity of the full
-   sets decides, as matrix products of tiles of at most TILE documents; a large neighbourhood is cut into pairs of tiles,
-   so no task gets more than two tiles. Each pair of tiles returns the components of its links, and the components of
-   these are the groups.
+4. What hangs together so far is a neighbourhood. Where a link went, two other members of the list may still be similar to
+   each other and not to the smallest: in lists with members of several neighbourhoods all pairs across these are compared
+   by their sketches, in tiles, and neighbourhoods that meet become one.
+5. Inside each neighbourhood the exact Jaccard similarity of the full sets decides, as matrix products of tiles of at most
+   TILE documents; a large neighbourhood is cut into pairs of tiles, so no task gets more than two tiles. Each pair of
+   tiles returns the components of its links, and the components of these are the groups.
 
 Defined cases: null, empty and blank texts have no shingles, link with nothing and are their own component. Texts with
 fewer words than a shingle are one shingle. Every row gives a row. A doc_id with several different texts is one
@@ -185,16 +185,22 @@ def _dealt(rows: DataFrame, *keep: str) -> DataFrame:
 
 
 def _among(rest: DataFrame, known: DataFrame, threshold: tuple[int, int], least: float) -> DataFrame:
-    """Links (a, b) between any two members of the lists (area, m, doc_id), as far as sketches can tell."""
+    """Links (a, b) between the neighbourhoods (near) of any two members of the lists (area, m, doc_id, near), as far as
+    sketches can tell. Members of one neighbourhood need no link."""
     rows = rest.withColumn("tiles", F.ceil(F.col("m") / F.lit(TILE)).cast("int"))
-    dealt = _dealt(rows.join(known.select("doc_id", "n", "low"), "doc_id"), "doc_id", "n", "low")
+    dealt = _dealt(rows.join(known.select("doc_id", "n", "low"), "doc_id"), "near", "n", "low")
 
     def link(key: tuple, group: pa.Table) -> pa.Table:
-        ids, n = group.column("doc_id").to_numpy(), group.column("n").to_numpy()
+        near, at = np.unique(group.column("near").to_numpy(), return_inverse=True)
         low = [np.frombuffer(x, np.uint64) for x in group.column("low").to_pylist()]
-        side = group.column("side").to_numpy(zero_copy_only=False).astype(bool)
-        sides = side if key[1].as_py() != key[2].as_py() else None
-        edges = _forest(ids, _maybe_alike(low, n, threshold, least), sides)
+        linked = _maybe_alike(low, group.column("n").to_numpy(), threshold, least)
+        if key[1].as_py() != key[2].as_py():
+            side = group.column("side").to_numpy(zero_copy_only=False).astype(bool)
+            linked &= side[:, None] != side[None, :]
+        met = np.zeros((len(near), len(near)), bool)
+        i, j = np.nonzero(linked)
+        met[at[i], at[j]] = True
+        edges = _forest(near, met, None)
         return pa.table(
             {"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())}
         )
@@ -263,19 +269,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: tuple[int, int] =
     stars = members.groupBy("a", "b").agg(F.first("sized").alias("sized"))
     low = known.select("doc_id", "low")
     judged = written(_estimated(stars.filter("sized").select("a", "b"), low, least), "judged")
-    # In a list of two the one pair has been looked at.
-    open_lists = members.filter("m > 2")
-    refused = open_lists.filter("not sized").select("area").unionByName(
-        open_lists.join(judged.filter("not near").select("a", "b"), ["a", "b"]).select("area")
-    )
+    first = written(components(judged.filter("near").select("a", "b")), "first")
+    # In a list of two the one pair has been looked at; a list within one neighbourhood has no more to say.
+    placed = members.filter("m > 2").join(first.withColumnRenamed("id", "a"), "a", "left")
+    placed = written(placed.select("area", "m", F.col("a").alias("doc_id"), F.coalesce("component", "a").alias("near")), "placed")
+    mixed = placed.groupBy("area").agg(F.min("near").alias("low"), F.max("near").alias("high")).filter("low <> high")
     # Written: else the join is on an aggregate's key, and adaptive execution leaves a long list in one task.
-    refused = written(refused.distinct(), "refused")
-    rest = open_lists.join(refused, "area").select("area", "m", F.col("a").alias("doc_id"))
-    links = judged.filter("near").select("a", "b").unionByName(_among(rest, known, threshold, least))
-    near = written(components(links), "near")
+    mixed = written(mixed.select("area"), "mixed")
+    links = first.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    near = written(components(links.unionByName(_among(placed.join(mixed, "area"), known, threshold, least))), "near")
     exact = components(_verified(docs, known, near, size, threshold).unionByName(_several(known, classes)))
     exact = written(exact, "exact")
-    for spent in (members, judged, refused, near):
+    for spent in (members, judged, first, placed, mixed, near):
         forgotten(spent)
     found = classes.join(exact.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
         "n", "sig_a", "sig_b", F.coalesce("component", "doc_id").alias("component_id")
