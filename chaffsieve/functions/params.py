@@ -16,6 +16,11 @@ RANGES = {
     "latitude": (-90, 90), "longitude": (-180, 180), "offset": (0, 9), "web_count": (1, 20), "news_count": (1, 50),
     "videos_count": (1, 50), "places_count": (1, 50), "images_count": (1, 200),
 }
+#: Inclusive ranges of the budgets of a context request, which the remote side enforces.
+BUDGETS = {
+    "count": (1, 50), "maximum_number_of_urls": (1, 50), "maximum_number_of_tokens": (1024, 32768), "maximum_number_of_snippets": (1, 256),
+    "maximum_number_of_tokens_per_url": (512, 8192), "maximum_number_of_snippets_per_url": (1, 100), "offset": (0, 9),
+}
 SAFESEARCH = ("off", "moderate", "strict")
 FRESHNESS = r"^(pd|pw|pm|py|[0-9]{4}-[0-9]{2}-[0-9]{2}to[0-9]{4}-[0-9]{2}-[0-9]{2})\z"
 #: Endpoints and their paths.
@@ -44,6 +49,21 @@ def filled(name: str, c: Column) -> Column:
     return F.coalesce(c, F.lit(DEFAULTS[name]))
 
 
+def budget_errors(columns: dict[str, Column]) -> Column:
+    """The names of the budgets that are out of their range, in the order given; absent ones are not."""
+    return F.array_compact(F.array(*(F.when(~c.between(*BUDGETS[n]), F.lit(n)) for n, c in columns.items())))
+
+
+def upstream(columns: dict[str, Column]) -> Column:
+    """The budgets that are handed to the remote side, as a map for `query_string`: defaults for absent ones where there are
+    such, floors for low ones; what is absent without a default is left out."""
+    out = []
+    for n, c in columns.items():
+        whole = filled(n, c) if n in DEFAULTS else c
+        out += [F.lit(n), (raised(n, whole) if n in FLOORS else whole).cast("string")]
+    return F.map_filter(F.create_map(*out), lambda k, v: v.isNotNull())
+
+
 def is_query(c: Column) -> Column:
     """1 to 400 characters after trimming, of at most 50 words."""
     q = trimmed(c)

@@ -221,6 +221,26 @@ def hosts_ports_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_BUDGETS = """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 9 <> 0 THEN o_orderkey % 60 - 3 END AS count,
+  CASE WHEN o_orderkey % 8 <> 0 THEN o_orderkey % 55 END AS maximum_number_of_urls, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey * 37 % 40000 END AS maximum_number_of_tokens,
+  CASE WHEN o_orderkey % 6 <> 0 THEN o_orderkey % 300 END AS maximum_number_of_snippets, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey * 11 % 9000 END AS maximum_number_of_tokens_per_url,
+  CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey % 110 END AS maximum_number_of_snippets_per_url, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey % 12 - 1 END AS "offset" FROM orders"""
+_OUT_OF_RANGE = ", ".join(f"CASE WHEN \"{n}\" NOT BETWEEN {a} AND {b} THEN '{n}' END" for n, (a, b) in P.BUDGETS.items())
+_HANDED = ", ".join(
+    f"'{n}=' || " + (f"greatest(coalesce({n}, {P.DEFAULTS[n]}), {P.FLOORS[n]})" if n in P.DEFAULTS else f'"{n}"') for n in sorted(P.BUDGETS)
+)
+
+
+@query("o05_budgets", f"WITH b AS ({_BUDGETS}) SELECT id, concat_ws(',', {_OUT_OF_RANGE}) AS errors, concat_ws('&', {_HANDED}) AS handed FROM b")
+def budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    B.table(spark, sf_dir, "orders").createOrReplaceTempView("_orders")
+    rows = spark.sql(_BUDGETS.replace("FROM orders", "FROM _orders").replace('"offset"', "offset"))
+    columns = {n: F.col(n) for n in P.BUDGETS}
+    none = F.array().cast("array<string>")
+    handed = P.query_string(P.upstream(columns), none, none, F.lit(False), none)
+    return rows.select("id", F.array_join(P.budget_errors(columns), ",").alias("errors"), handed.alias("handed"))
+
+
 _PLACE = """SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN '   ' ELSE o_orderpriority END AS query,
   CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey % 55 END AS count, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey % 100 - 5 END AS latitude,
   CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey % 200 - 10 END AS longitude, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 9 - 1 END AS radius,
