@@ -68,13 +68,13 @@ def texts(docs: DataFrame, *keep: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, F.col("text").cast("binary").alias("body"))
 
 
-def slices(batches: Iterator[pa.RecordBatch], by: str = "body") -> Iterator[pa.RecordBatch]:
-    """The rows of `batches` in slices of about SLICE_BYTES of the column `by`, in order."""
+def slices(batches: Iterator[pa.RecordBatch], by: str = "body", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of `batches` in slices of about `most` bytes of the column `by`, in order."""
     for batch in batches:
         sizes = np.diff(_offsets(batch.column(by)))
         start, held = 0, 0
         for i, size in enumerate(sizes.tolist()):
-            if held and held + size > SLICE_BYTES:
+            if held and held + size > most:
                 yield batch.slice(start, i - start)
                 start, held = i, 0
             held += size + 64

@@ -42,6 +42,8 @@ LEXICON_WORDS = 1 << 17
 LEXICON_BYTES = 48
 #: Pieces between blanks that a worker remembers.
 CACHE = 80_000
+#: Bytes of text that are encoded at a time: the more, the fewer pieces are looked up again.
+ENCODED = 4 << 20
 #: Pieces that are counted at a time.
 COUNTED = 2_000_000
 _MAGIC = b"MAT1"
@@ -138,12 +140,13 @@ class Bpe:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         return _PATTERN.findall(text.lower())
 
-    def decode(self, ids: list[bytes]) -> pa.Array:
+    def decode(self, ids: pa.Array) -> pa.Array:
         """Texts of ids (little-endian unsigned 32-bit integers): the tokens with blanks between them, as the tokenizer
         file has no decoder."""
-        offsets = np.concatenate([[0], np.cumsum([len(i) // 4 for i in ids])]).astype(np.int32)
-        tokens = self.tokens.take(pa.array(np.frombuffer(b"".join(ids), "<u4")))
-        return pc.binary_join(pa.ListArray.from_arrays(offsets, tokens), " ")
+        counts = pc.fill_null(pc.binary_length(ids), 0).to_numpy(zero_copy_only=False) // 4
+        offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+        flat = np.frombuffer(b"".join(ids.drop_null().to_pylist()), "<u4")
+        return pc.binary_join(pa.ListArray.from_arrays(offsets, self.tokens.take(pa.array(flat))), " ")
 
 
 class Lexicon:
@@ -252,7 +255,7 @@ class Encoder:
 
     def __init__(self, bpe: Bpe, lexicon: Lexicon):
         self.bpe, self.lexicon = bpe, lexicon
-        self.young: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
 
     def _learn(self, pieces: list[str]) -> None:
@@ -287,29 +290,40 @@ class Encoder:
             at = m.end()
         return own + self.bpe.words([piece[at:]])[:-1]
 
-    def encode(self, text: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        pieces = [pieces_of(t) for t in text]
+    def _known(self, pieces: list[str]) -> list[bytes]:
+        """The ids of different pieces, learned where they are new."""
         if len(self.young) > CACHE:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        new = []
-        for p in set().union(*pieces).difference(young):
-            ids = old.get(p)
-            if ids is None:
-                new.append(p)
-            else:
-                young[p] = ids
+            self.old, self.young = self.young, {"": b""}
+        young, old, new = self.young, self.old, []
+        for p in pieces:
+            if p not in young:
+                ids = old.get(p)
+                if ids is None:
+                    new.append(p)
+                else:
+                    young[p] = ids
         if new:
             self._learn(new)
-        return [b"".join(map(young.__getitem__, own)) for own in pieces]
+        return [young[p] for p in pieces]
 
+    def encode(self, text: pa.Array) -> pa.Array:
+        """Ids of each text (null: none) as little-endian unsigned 32-bit integers. Python sees every piece of `text` once."""
+        lists = pieces_of(text)
+        pieces = lists.flatten().dictionary_encode()
+        ids = pa.array(self._known(pieces.dictionary.to_pylist()), pa.binary())
+        return pc.binary_join(pa.ListArray.from_arrays(_ends(lists), ids.take(pieces.indices)), b"")
 
-def pieces_of(text: str | None) -> list[str]:
-    """A text cut at the tokenizer's blanks. No word and no special token has a blank."""
-    if not text:
-        return []
-    return _SPLIT.findall(text) if any(c in text for c in _NO_BLANKS) else text.split()
+
+def _ends(lists: pa.Array) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())]).astype(np.int32))
+
+
+def pieces_of(text: pa.Array) -> pa.Array:
+    """Texts cut at the tokenizer's blanks; there may be empty pieces. No word and no special token has a blank."""
+    text = pc.fill_null(text, "")
+    if pc.any(pc.match_substring_regex(text, f"[{''.join(_NO_BLANKS)}]")).as_py():
+        return pa.array([_SPLIT.findall(t) for t in text.to_pylist()], pa.list_(pa.string()))
+    return pc.utf8_split_whitespace(text)
 
 
 def frequent_words(docs: DataFrame, bpe: Bpe, most: int = LEXICON_WORDS) -> list[str]:
@@ -378,9 +392,10 @@ def round_trip(docs: DataFrame, tokenizer: str, most: int = LEXICON_WORDS, decod
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _worker(key, *sent.value)
-        for part in slices(batches):
-            ids = encoder.encode([None if b is None else b.decode() for b in part.column("body").to_pylist()])
-            columns = [part.column("doc_id"), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())]
+        for part in slices(batches, most=ENCODED):
+            ids = encoder.encode(part.column("body").cast(pa.string()))
+            n = pc.cast(pc.divide(pc.binary_length(ids), 4), pa.int64())
+            columns = [part.column("doc_id"), n, ids]
             if decode:
                 columns.append(encoder.bpe.decode(ids))
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids", "decoded"][: len(columns)])
@@ -396,7 +411,6 @@ def decoded(rows: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(sent.value)
         for batch in batches:
-            back = bpe.decode([i or b"" for i in batch.column("ids").to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), back], names=["doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), bpe.decode(batch.column("ids"))], names=["doc_id", "text"])
 
     return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")

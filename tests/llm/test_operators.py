@@ -610,6 +610,15 @@ def test_bpe_equals_the_library(spark, tokenizer):
     assert bpe.round_trip(table(spark, []).limit(0), queries._tokenizer()).count() == 0
 
 
+def test_pieces_are_cut_at_the_tokenizers_blanks():
+    """Every character between two letters, but surrogates; with the four that Arrow takes for blanks on a way of their own."""
+    signs = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for group in ([c for c in signs if c not in bpe._NO_BLANKS], list(bpe._NO_BLANKS)):
+        cut = bpe.pieces_of(bpe.pa.array([f"a{c}b" for c in group])).to_pylist()
+        assert [len(p) == 2 for p in cut] == [not bpe._SPLIT.fullmatch(c) for c in group]
+    assert bpe.pieces_of(bpe.pa.array([None, "", " a ", "a  b"], bpe.pa.string())).to_pylist()[0] == [""]
+
+
 def test_words_that_stand_once_in_each_partition_count(spark):
     docs = table(spark, ["often one", "often two", "often three"]).repartition(3)
     assert bpe.frequent_words(docs, bpe._bpe(open(queries._tokenizer(), encoding="utf-8").read()), 1)[0].startswith("often")
